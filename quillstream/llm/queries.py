@@ -1,9 +1,65 @@
-"""Queries of the training-data operators."""
+"""Queries of the training-data operators over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstream.llm import encode as enc
+from quillstream.llm import garbled, history, looks, responses
+from quillstream.llm.hdlang import Profiles
+from quillstream.session import table
+
+
+def profiles(spark: SparkSession, d: str) -> Profiles:
+    """Language profiles of the labelled samples (a small fixed table)."""
+    rows = table(spark, d, "language_samples").where("lang is not null and text is not null").limit(20_000).collect()
+    return Profiles(sorted((r["lang"], r["text"]) for r in rows))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = history.repeated_rows(table(spark, d, "observations"))
+    return found.select(F.col("repeated_line").alias("accepted_line"), F.col("line").alias("repeated_line"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = looks.same_look_pairs(table(spark, d, "video_cards"), "card_id", "video_id", ["title", "description"])
+    return pairs.select(F.col("id_a").alias("card_id_a"), F.col("id_b").alias("card_id_b"), "field")
+
+
+def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and descriptions in their consistent, case-folded form."""
+    cards = table(spark, d, "video_cards")
+    return cards.select("card_id", looks.canonical_column(F.col("title")).alias("title"), looks.canonical_column(F.col("description")).alias("description"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return responses.judge(table(spark, d, "generation_responses"), profiles(spark, d))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return enc.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled records with their chain and the restored text."""
+    docs = table(spark, d, "documents")
+    return garbled.repair(docs, garbled.fit(table(spark, d, "language_samples"), docs))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_repaired(spark, d).select("doc_id").distinct()
+
+
+SQL: dict[str, str] = {}
 
 
 def queries():
-    return {}
+    return {
+        "p1_found": p1_found, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p8_ids": p8_ids,
+        "p10_found": p10_found, "p10_repaired": p10_repaired,
+    }
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
