@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import encode as enc
-from quillstream.llm import garbled, history, looks, responses
+from quillstream.llm import garbled, groups, history, language, looks, overlap, pack, responses
 from quillstream.llm.hdlang import Profiles
 from quillstream.session import table
 
@@ -33,10 +33,56 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return cards.select("card_id", looks.canonical_column(F.col("title")).alias("title"), looks.canonical_column(F.col("description")).alias("description"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = overlap.overlap_pairs(table(spark, d, "creation_examples"), "example_id", "split", "source_id", ["brief", "target"])
+    return pairs.select(F.col("id_a").alias("example_id_a"), F.col("id_b").alias("example_id_b"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps with train per evaluation split and source_id."""
+    rows = overlap.overlap_report(table(spark, d, "creation_examples"), "example_id", "split", "source_id", ["brief", "target"])
+    return rows.withColumnRenamed("source", "source_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return responses.judge(table(spark, d, "generation_responses"), profiles(spark, d))
 
 
+def _ties(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "meme_records")
+    return groups.tied(records, "meme_id", ["family_id"], [F.col("assets.source_group_id")])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    tied = _ties(spark, d)
+    several = tied.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    return tied.join(several, "group").select(F.col("group").alias("group_id"), F.col("entity").alias("meme_id"))
+
+
+def p5_split(spark: SparkSession, d: str) -> DataFrame:
+    """Every meme with its group and split."""
+    splits = [(r["split"], float(r["fraction"])) for r in table(spark, d, "split_fractions").orderBy(F.desc("fraction"), "split").limit(100).collect()]
+    return groups.assign(_ties(spark, d), splits).select(F.col("entity").alias("meme_id"), F.col("group").alias("group_id"), "split")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = language.relabelled(table(spark, d, "video_cards"), profiles(spark, d), "card_id", ["title", "description"], "default_language")
+    return found.select(F.col("id").alias("card_id"), "lang")
+
+
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every segment."""
+    rows = language.segment_languages(table(spark, d, "video_cards"), profiles(spark, d), "card_id", ["title", "description"])
+    return rows.withColumnRenamed("id", "card_id")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Where each text, or piece of a text larger than the capacity, goes, for each capacity."""
+    capacities = [r["capacity"] for r in table(spark, d, "context_windows").select("capacity").distinct().limit(1000).collect()]
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), enc.token_counts(F.col("text")).alias("size"))
+    return pack.pack(items, capacities).withColumnRenamed("id", "doc_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return enc.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -56,8 +102,9 @@ SQL: dict[str, str] = {}
 
 def queries():
     return {
-        "p1_found": p1_found, "p2_found": p2_found, "p2_canonical": p2_canonical, "p4_found": p4_found, "p8_ids": p8_ids,
-        "p10_found": p10_found, "p10_repaired": p10_repaired,
+        "p1_found": p1_found, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_report": p3_report,
+        "p4_found": p4_found, "p5_found": p5_found, "p5_split": p5_split, "p6_found": p6_found, "p6_segments": p6_segments, "p8_ids": p8_ids,
+        "p9_containers": p9_containers, "p10_found": p10_found, "p10_repaired": p10_repaired,
     }
 
 
