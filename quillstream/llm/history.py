@@ -12,6 +12,7 @@ not read again. Rows are accepted in line order: a row repeats the earliest acce
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.anchors import Segment, Segments, choose, prefixes
 from quillstream.llm.strings import edit_distance, letters, shingles
-from quillstream.session import cut, fresh_path
+from quillstream.session import cut, fresh_path, small
 
 #: Letters from which two texts are compared; share of letters by which they may differ ("about a tenth").
 LEAST_LETTERS, DIFFER = 45, 0.125
@@ -32,7 +33,7 @@ SHARD_PLACES = 3_000_000
 PLACES_PER_RECORD = 22
 
 _BLOB = "shard int, batch int, keys binary, places binary, lines binary, sizes binary"
-_PAIR = "q long, s long, covered int, size int"
+_PAIRS = "bucket int, q binary, s binary, covered binary, size binary"
 
 
 def prepare(rows: DataFrame, line: str, batch: str, record_id: str, text: str) -> DataFrame:
@@ -100,7 +101,7 @@ def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, np.frombuffer(row.lines, dtype=np.int64)[places], np.frombuffer(row.sizes, dtype=np.int32)[places]
 
 
-def _search_shard(history: Segments, batches: list[tuple[int, list]]) -> Iterator[pd.DataFrame]:
+def _search_shard(history: Segments, batches: list[tuple[int, list]]) -> Iterator[tuple]:
     """Replays the batches of a shard in order: search in history and in the batch, then add the batch's segment."""
     for _, rows in batches:
         parts = [(row.batch & 1, *_unpack(row)) for row in rows]
@@ -118,14 +119,50 @@ def _search_shard(history: Segments, batches: list[tuple[int, list]]) -> Iterato
             found.append((lines[hit], line[hit], length[hit], sizes[hit]))
         if len(own.keys):
             history.add(own)
-        q, s, n, size = (np.concatenate(x) for x in zip(*found))
-        if len(q):
-            df = pd.DataFrame({"q": q, "s": s, "covered": n, "size": size})
-            yield df.groupby(["q", "s"], as_index=False, sort=False).agg({"covered": "sum", "size": "first"})
+        yield tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _pack_pairs(parts: list[tuple], buckets: int) -> pd.DataFrame:
+    """Pairs of a shard, added up, in one compressed blob per bucket of q."""
+    q, s, n, size = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((s, q, q % buckets))
+    q, s, n, size = q[order], s[order], n[order], size[order]
+    new = np.concatenate([[True], (q[1:] != q[:-1]) | (s[1:] != s[:-1])])
+    start = np.flatnonzero(new)
+    q, s, n, size = q[start], s[start], np.add.reduceat(n, start), size[start]
+    ends = np.searchsorted(q % buckets, np.arange(buckets + 1))
+    rows = []
+    for k in range(buckets):
+        at = slice(ends[k], ends[k + 1])
+        if ends[k] < ends[k + 1]:
+            columns = (np.diff(q[at], prepend=0).astype(np.int64), s[at], n[at].astype(np.int32), size[at].astype(np.int32))
+            rows.append((k, *(zlib.compress(x.tobytes(), 1) for x in columns)))
+    return pd.DataFrame(rows, columns=["bucket", "q", "s", "covered", "size"])
+
+
+def _add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of the buckets of a partition whose matches, over all shards, cover enough of q."""
+    by_bucket: dict[int, list] = {}
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            by_bucket.setdefault(row.bucket, []).append(row)
+    for bucket in sorted(by_bucket):
+        rows = by_bucket.pop(bucket)
+        base = [np.frombuffer(zlib.decompress(r.q), np.int64).copy() for r in rows]
+        q = np.concatenate([np.cumsum(x) for x in base])
+        s = np.concatenate([np.frombuffer(zlib.decompress(r.s), np.int64) for r in rows])
+        n = np.concatenate([np.frombuffer(zlib.decompress(r.covered), np.int32) for r in rows]).astype(np.int64)
+        size = np.concatenate([np.frombuffer(zlib.decompress(r.size), np.int32) for r in rows])
+        order = np.lexsort((s, q))
+        q, s, n, size = q[order], s[order], n[order], size[order]
+        start = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (s[1:] != s[:-1])]))
+        n = np.add.reduceat(n, start)
+        keep = n >= size[start] * COVER
+        yield pd.DataFrame({"q": q[start][keep], "s": s[start][keep]})
 
 
 def search(packed: DataFrame, shards: int, history: DataFrame | None = None) -> DataFrame:
-    """(q, s, covered): pairs of a line and an earlier one whose common long matches cover enough of q's letters.
+    """(q, s): pairs of a line and an earlier one whose common long matches cover enough of q's letters.
 
     `history` holds blobs of earlier batches, as blobs() makes them; they are only searched.
     """
@@ -140,16 +177,15 @@ def search(packed: DataFrame, shards: int, history: DataFrame | None = None) ->
             batches = by_shard.pop(shard)
             for row in batches.pop(-1, []):
                 segments.add(Segment(*_unpack(row)[:2]))
-            yield from _search_shard(segments, sorted(batches.items()))
+            found = [x for x in _search_shard(segments, sorted(batches.items())) if len(x[0])]
+            if found:
+                yield _pack_pairs(found, shards)
 
     both = packed.withColumn("old", F.lit(False))
     if history is not None:
         both = both.unionByName(history.withColumn("old", F.lit(True)))
-    pairs = both.repartition(shards, "shard").mapInPandas(run, _PAIR)
-    return (
-        pairs.groupBy("q", "s").agg(F.sum("covered").alias("covered"), F.first("size").alias("size"))
-        .where(F.col("covered") >= F.col("size") * COVER).select("q", "s", "covered")
-    )
+    pairs = both.repartition(shards, "shard").mapInPandas(run, _PAIRS)
+    return pairs.repartition(shards, "bucket").mapInPandas(_add_up, "q long, s long")
 
 
 def within(a: str, b: str, differ: float = DIFFER) -> bool:
@@ -171,9 +207,11 @@ def verified(pairs: DataFrame, records: DataFrame, differ: float = DIFFER) -> Da
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within(x, y, differ) for x, y in zip(a, b)], dtype=bool)
 
-    left = records.select(F.col("line").alias("q"), F.col("letters").alias("a"))
-    right = records.select(F.col("line").alias("s"), F.col("letters").alias("b"))
-    return pairs.select("q", "s").join(left, "q").join(right, "s").where(near("a", "b")).select("q", "s")
+    pairs = cut(pairs.select("q", "s"))
+    side = small(pairs, pairs.count(), 24)
+    left = records.select(F.col("line").alias("q"), F.col("letters").alias("a")).join(side, "q")
+    right = records.select(F.col("line").alias("s"), F.col("letters").alias("b")).join(side, "s")
+    return left.join(right, ["q", "s"]).where(near("a", "b")).select("q", "s")
 
 
 def resolve(pairs: DataFrame) -> DataFrame:
@@ -220,16 +258,18 @@ def repeated_rows(
     keyed = long.select("line", F.xxhash64("letters").alias("h"), F.sha2("letters", 256).substr(1, 16).alias("h2"))
     first_of = Window.partitionBy("h", "h2")
     copies = cut(keyed.withColumn("of", F.min("line").over(first_of)).where("of < line").select("line", "of"))
-    records = long.join(copies, "line", "left_anti")
-    n = records.count()
+    n_copies = copies.count()
+    records = long.join(small(copies.select("line"), n_copies, 16), "line", "left_anti")
+    n = long.count() - n_copies
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * PLACES_PER_RECORD // SHARD_PLACES + 1)
-    pairs = cut(verified(cut(search(blobs(records, shards), shards)), long))
+    pairs = cut(verified(search(blobs(records, shards), shards), long))
     # records that only met later copies of what they repeat: search again among the first of each group alone
     while True:
         members = pairs.select(F.col("q").alias("line")).union(pairs.select(F.col("s").alias("line"))).distinct()
         later = pairs.select(F.col("q").alias("line")).distinct().withColumn("later", F.lit(True))
-        involved = long.join(members, "line", "left_semi").join(later, "line", "left").withColumn("later", F.coalesce("later", F.lit(False)))
-        found = verified(cut(search(blobs(involved, shards, "later"), shards)).join(pairs, ["q", "s"], "left_anti"), long)
+        members = cut(members.join(later, "line", "left").withColumn("later", F.coalesce("later", F.lit(False))))
+        involved = cut(long.join(small(members, members.count(), 20), "line"))
+        found = verified(search(blobs(involved, shards, "later"), shards).join(pairs, ["q", "s"], "left_anti"), involved)
         more = cut(found)
         pairs = cut(pairs.unionByName(more))
         # only a new match of a first record can make others first
