@@ -53,16 +53,16 @@ def prepare(rows: DataFrame, line: str, batch: str, record_id: str, text: str) -
             local = [None if len(f) < LEAST_LETTERS or first[f] == n else first[f] for f, n in zip(forms, lines)]
             kept = [f if len(f) >= LEAST_LETTERS and x is None else None for f, x in zip(forms, local)]
             yield pd.DataFrame({
-                "line": pdf["line"], "batch": pdf["batch"], "id": pdf["id"], "same": pdf["same"],
+                "line": pdf["line"], "batch": pdf["batch"], "same": pdf["same"],
                 "letters": pd.Series(kept, dtype=object), "local": pd.Series(local, dtype="Int64"),
             })
 
     keyed = rows.select(
         F.col(line).cast("long").alias("line"), F.col(batch).cast("int").alias("batch"), F.col(text).alias("t"),
-        F.when(F.col(record_id).isNotNull() & (F.length(F.col(text)) > 0), F.xxhash64(record_id)).alias("id"),
-        F.xxhash64(F.sha2(F.col(text), 256)).alias("same"),
+        # as text: numbers with nulls among them would pass through Python as floats
+        F.when(F.col(record_id).isNotNull() & (F.length(F.col(text)) > 0), F.substring(F.sha2(F.concat_ws("\u001f", record_id, text), 256), 1, 32)).alias("same"),
     ).where("line is not null")
-    return keyed.mapInPandas(run, "line long, batch int, id long, same long, letters string, local long")
+    return keyed.mapInPandas(run, "line long, batch int, same string, letters string, local long")
 
 
 def blobs(records: DataFrame, shards: int, role: str | None = None) -> DataFrame:
@@ -250,9 +250,9 @@ def repeated_rows(
     prepare(rows, line, batch, record_id, text).write.option("compression", "zstd").parquet(path)
     prepared = spark.read.parquet(path)
     # short texts: same id and same text
-    short = prepared.where("id is not null and letters is null and local is null").select("line", "id", "same")
-    first = short.groupBy("id", "same").agg(F.min("line").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    by_id = short.join(first, ["id", "same"]).where("of < line").select("line", "of")
+    short = prepared.where("same is not null and letters is null and local is null").select("line", "same")
+    first = short.groupBy("same").agg(F.min("line").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    by_id = short.join(first, "same").where("of < line").select("line", "of")
     # equal letters: the earliest line stands for them
     long = prepared.where("letters is not null").select("line", "batch", "letters")
     keyed = long.select("line", F.xxhash64("letters").alias("h"), F.sha2("letters", 256).substr(1, 16).alias("h2"))
@@ -276,6 +276,15 @@ def repeated_rows(
         if more.join(later.select(F.col("line").alias("q")), "q", "left_anti").isEmpty():
             break
     near = resolve(pairs)
+    # an earlier accepted match may be no one's longest match: look for it among the matches of one's matches
+    while True:
+        links = pairs.select("q", F.col("s").alias("r")).union(pairs.select(F.col("s").alias("q"), F.col("q").alias("r")))
+        further = links.join(near.select(F.col("line").alias("r"), F.col("of").alias("s")), "r").where("s < q").select("q", "s").distinct()
+        more = cut(verified(further.join(pairs, ["q", "s"], "left_anti"), involved))
+        if more.isEmpty():
+            break
+        pairs = cut(pairs.unionByName(more))
+        near = resolve(pairs)
     answers = near.unionByName(
         copies.join(near.select(F.col("line").alias("of"), F.col("of").alias("x")), "of", "left")
         .select("line", F.coalesce("x", "of").alias("of"))
