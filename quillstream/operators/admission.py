@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
 from quillstream.functions.times import instant
+from quillstream.session import cut
 
 # Required fields in the order they are checked, and provenance classes.
 REQUIRED = ("observation_id", "platform", "source_id", "video_id", "modality", "text")
@@ -52,7 +53,8 @@ def admit(rows: DataFrame, cutoff: str, line: str = "input_line") -> DataFrame:
     """
     columns = rows.columns
     content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns if c != line]), {"ignoreNullFields": "false"}), 256)
-    base = rows.withColumn("normalized", T.normalized(T.nfkc(F.col("text")))).withColumn("r1", row_reason(cutoff)).withColumn("content", content)
+    # kept, as four branches read it
+    base = cut(rows.withColumn("normalized", T.normalized(T.nfkc(F.col("text")))).withColumn("r1", row_reason(cutoff)).withColumn("content", content))
     passed = base.where("r1 is null")
     firsts = passed.groupBy("observation_id").agg(F.min(F.struct(line, "content")).alias("first"))
     told = passed.select("observation_id", "content").join(firsts, "observation_id")
@@ -66,7 +68,7 @@ def admit(rows: DataFrame, cutoff: str, line: str = "input_line") -> DataFrame:
             (F.col("conflict"), "conflicting_observation_id"),
         ),
     )
-    second = second.withColumn("reason2", F.coalesce("r1", "r2"))
+    second = cut(second.withColumn("reason2", F.coalesce("r1", "r2")))
     key = [F.lower("platform"), F.col("source_id"), F.col("modality")]
     latest = (
         second.where("reason2 is null")
