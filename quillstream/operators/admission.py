@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
 from quillstream.functions.times import instant
-from quillstream.session import cut
+from quillstream.session import keep
 
 # Required fields in the order they are checked, and provenance classes.
 REQUIRED = ("observation_id", "platform", "source_id", "video_id", "modality", "text")
+TIMES = ("posted_at", "collected_at", "available_at", "updated_at")
 PROVENANCE = ("actual_collected", "researcher_authored", "ai_synthetic")
 
 
@@ -20,9 +21,9 @@ def first_reason(*rules: tuple[Column, str]) -> Column:
 
 
 def row_reason(cutoff: str) -> Column:
-    """The ladder of rules that look at one row."""
+    """The ladder of rules that look at one row; its instants are columns named __ and the time's name."""
     at = F.lit(cutoff).cast("timestamp")
-    posted, collected, available, updated = (instant(c) for c in ("posted_at", "collected_at", "available_at", "updated_at"))
+    posted, collected, available, updated = (F.col(f"__{c}") for c in TIMES)
     has_update = F.col("updated_at").isNotNull() & (F.col("updated_at") != "")
     rules = [(F.col(c).isNull() | (F.trim(F.regexp_replace(c, r"(?U)\s+", " ")) == ""), f"missing_or_invalid_{c}") for c in REQUIRED]
     rules += [
@@ -54,7 +55,8 @@ def admit(rows: DataFrame, cutoff: str, line: str = "input_line") -> DataFrame:
     columns = rows.columns
     content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns if c != line]), {"ignoreNullFields": "false"}), 256)
     # kept, as four branches read it
-    base = cut(rows.withColumn("normalized", T.normalized(T.nfkc(F.col("text")))).withColumn("r1", row_reason(cutoff)).withColumn("content", content))
+    timed = rows.withColumns({f"__{c}": instant(c) for c in TIMES})
+    base = keep(timed.withColumn("normalized", T.normalized(T.nfkc(F.col("text")))).withColumn("r1", row_reason(cutoff)).withColumn("content", content))
     passed = base.where("r1 is null")
     firsts = passed.groupBy("observation_id").agg(F.min(F.struct(line, "content")).alias("first"))
     told = passed.select("observation_id", "content").join(firsts, "observation_id")
@@ -68,7 +70,7 @@ def admit(rows: DataFrame, cutoff: str, line: str = "input_line") -> DataFrame:
             (F.col("conflict"), "conflicting_observation_id"),
         ),
     )
-    second = cut(second.withColumn("reason2", F.coalesce("r1", "r2")))
+    second = keep(second.withColumn("reason2", F.coalesce("r1", "r2")))
     key = [F.lower("platform"), F.col("source_id"), F.col("modality")]
     latest = (
         second.where("reason2 is null")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import text as T
 from quillstream.functions.times import instant
 from quillstream.operators.components import connected
-from quillstream.session import cut
+from quillstream.session import keep
 
 
 def text_lines(observations: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def detect(
     D0 takes each phrase alone; D1 joins similar phrases into clusters and ranks content before tags. max_phrase_nodes
     and max_candidates are the operator's top lists. Rows with null channels count without channel; no rows give none.
     """
-    obs = cut(
+    obs = keep(
         observations.select(
             "observation_id", F.struct(F.lower("platform").alias("p"), F.col("source_id").alias("s")).alias("source"), "video_id", "channel_id",
             F.xxhash64("normalized").alias("content"), F.to_date(instant("posted_at")).alias("day"), instant("available_at").alias("available"),
@@ -122,7 +122,7 @@ def detect(
         )
     )
     lines = line_reasons(text_lines(observations), least_repeats)
-    uses = cut(phrase_uses(lines, max_words))
+    uses = keep(phrase_uses(lines, max_words))
     live = uses.where("suppressed is null")
     # the set of supporting rows, as its size and two order-free sums of hashes
     distinct = live.groupBy("phrase", "observation_id").agg(F.max("protected").alias("protected")).groupBy("phrase").agg(
@@ -136,16 +136,16 @@ def detect(
     ordered = in_obs.join(index, "phrase", "left_semi").groupBy("phrase").agg(F.count_distinct("source").alias("docs"), F.count_distinct("video_id").alias("videos"), F.count_distinct("observation_id").alias("rows"))
     if method == "D0":  # a phrase alone: too little support can be dropped before the top list, which puts it last anyway
         ordered = ordered.where((F.col("docs") >= min_documents))
-    nodes = cut(ordered.orderBy(F.desc("docs"), F.desc(F.length("phrase")), "phrase").limit(max_phrase_nodes))
+    nodes = keep(ordered.orderBy(F.desc("docs"), F.desc(F.length("phrase")), "phrase").limit(max_phrase_nodes))
     if method == "D1":
-        edges = cut(variant_edges(nodes))
+        edges = keep(variant_edges(nodes))
         labels = connected(edges.select(F.col("left").alias("a"), F.col("right").alias("b")))
         members = nodes.join(labels.withColumnRenamed("node", "phrase"), "phrase", "left").select("phrase", "rows", F.coalesce("root", "phrase").alias("cluster"))
         linked = edges.join(labels, edges["left"] == labels["node"]).groupBy(F.col("root").alias("cluster")).agg(F.count(F.lit(1)).alias("edges"))
     else:
         members = nodes.select("phrase", "rows", F.col("phrase").alias("cluster"))
         linked = None
-    members = cut(members)
+    members = keep(members)
     evidence = live.join(F.broadcast(members.select("phrase", "cluster")), "phrase").join(obs, "observation_id")  # at most max_phrase_nodes rows
     source_if = lambda origin: F.count_distinct(F.when(F.col("origin") == origin, F.col("source")))
     scores = evidence.groupBy("cluster").agg(

@@ -11,7 +11,7 @@ from quillstream.operators import discovery as D
 from quillstream.operators import seeds as S
 from quillstream.operators.admission import admit
 from quillstream.plans.core_p import _ts
-from quillstream.session import cut, table
+from quillstream.session import keep, table
 
 #: Cutoff of the admission queries.
 CUTOFF = "2024-01-05T00:00:00Z"
@@ -23,7 +23,7 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
 
 def _eligible(spark: SparkSession, d: str) -> DataFrame:
     """Admitted rows of collected data; kept once, as several branches read them."""
-    return cut(admit(_observations(spark, d), CUTOFF).where("reason is null and provenance = 'actual_collected'"))
+    return keep(admit(_observations(spark, d), CUTOFF).where("reason is null and provenance = 'actual_collected'"))
 
 
 def flt_admit(spark: SparkSession, d: str) -> DataFrame:
@@ -124,18 +124,18 @@ def fn_core_title(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op_plan_seeds(spark: SparkSession, d: str) -> DataFrame:
-    videos = cut(S.unique_videos(table(spark, d, "video_cards"), "card_id"))
+    videos = keep(S.unique_videos(table(spark, d, "video_cards"), "card_id"))
     return S.plan_seeds(videos, 50).withColumn("video_ids", F.size("video_ids")).withColumn("channel_ids", F.size("channel_ids"))
 
 
 def op_followups(spark: SparkSession, d: str) -> DataFrame:
-    videos = cut(S.unique_videos(table(spark, d, "video_cards"), "card_id"))
-    return S.followups(cut(S.plan_seeds(videos, 50)), videos)
+    videos = keep(S.unique_videos(table(spark, d, "video_cards"), "card_id"))
+    return S.followups(keep(S.plan_seeds(videos, 50)), videos)
 
 
 def op_families(spark: SparkSession, d: str) -> DataFrame:
-    videos = cut(S.unique_videos(table(spark, d, "video_cards"), "card_id"))
-    return S.families(cut(S.plan_seeds(videos, 50)), videos)
+    videos = keep(S.unique_videos(table(spark, d, "video_cards"), "card_id"))
+    return S.families(keep(S.plan_seeds(videos, 50)), videos)
 
 
 def agg_day_hist(spark: SparkSession, d: str) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from quillstream.functions import text as T
 from quillstream.operators import review as R
 from quillstream.operators import seeds as S
-from quillstream.session import cut, table
+from quillstream.session import keep, table
 
 
 def _videos(spark: SparkSession, d: str) -> DataFrame:
-    return cut(S.unique_videos(table(spark, d, "video_cards"), "card_id"))
+    return keep(S.unique_videos(table(spark, d, "video_cards"), "card_id"))
 
 
 def op_title_variations(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ def op_shared_frames(spark: SparkSession, d: str) -> DataFrame:
 def _phrases(spark: SparkSession, d: str) -> DataFrame:
     """The fifty frames of most videos, as candidates."""
     top = R.shared_frames(table(spark, d, "video_cards"), 3, 3).orderBy(F.desc("videos"), "frame").limit(50)
-    return cut(top.select(T.hash_id("c_", F.col("frame")).alias("candidate_id"), F.col("frame").alias("phrase"), F.lit(False).alias("only_tags")))
+    return keep(top.select(T.hash_id("c_", F.col("frame")).alias("candidate_id"), F.col("frame").alias("phrase"), F.lit(False).alias("only_tags")))
 
 
 def op_review(spark: SparkSession, d: str) -> DataFrame:

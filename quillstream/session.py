@@ -76,3 +76,11 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._quillstream_shipped = True
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder, computed once. Unlike cut(), which computes twice but is cleaned up by
+    Spark, the table stays until the folder is cleared; for intermediate tables that several branches read."""
+    path = fresh_path(df.sparkSession, "kept")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
