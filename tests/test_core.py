@@ -12,6 +12,7 @@ from quillstream.functions.times import instant
 from quillstream.operators import components as C
 from quillstream.operators import discovery as D
 from quillstream.operators import experiments as X
+from quillstream.operators import review as R
 from quillstream.operators import seeds as S
 from quillstream.operators import temporal as P
 from quillstream.operators.admission import admit
@@ -275,3 +276,21 @@ def test_comparison_frame(spark):
     df = spark.createDataFrame([("아주 진지한 고양이는 강아지와 구분할 수 없다",), ("고양이는 강아지와 구분할 수 없다",), ("그냥 제목",)], "t string")
     got = [r[0] for r in df.select(S.comparison_frame(F.col("t"))).collect()]
     assert got[0]["prefix"] == "아주 진지한" and got[0]["left"] == "고양이" and got[0]["right"] == "강아지" and got[1:] == [None, None]
+
+
+def test_title_variations_match_all_pairs(spark):
+    rows = []
+    for n in range(420):
+        a, b, c = f"고양이{n % 7}", ("리모컨 숨겼다", "물총 숨겼다 몰래", "냄비 안에 앉았다")[n % 3], f"{n % 5}화"
+        title = f"세상에서 제일 느린 {a} {b} {c}" if n % 4 else f"{b} 혼자 남은 {a} 어느 날 {c} {b}"
+        rows.append((n, f"v{n // 2}", title))
+    df = spark.createDataFrame([*rows, (900, "v900", None), (901, None, rows[1][2])], "id long, video_id string, title string")
+    normal = {r["id"]: r["t"] for r in df.select("id", T.normalized(T.core_title(F.col("title"))).alias("t")).collect()}
+    want = {}
+    for i, v, _ in rows:
+        for j, w, _ in rows:
+            if i < j and v != w and (f := R.variation(normal[i], normal[j])):
+                want[i, j] = (f[0], len(f[1]))
+    got = R.title_variations(df).collect()
+    assert len(got) == len(want) and {(r["left"], r["right"]): (r["frame"], r["changes"]) for r in got} == want
+    assert any(i > 200 for i, _ in want)
