@@ -13,6 +13,7 @@ not read again. Rows are accepted in line order: a row repeats the earliest acce
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm.anchors import Segment, Segments, choose, prefixes
-from quillstream.llm.strings import edit_distance, letters, shingles
+from quillstream.llm.strings import edit_distance, letters
 from quillstream.session import cut, fresh_path, small
 
 #: Letters from which two texts are compared; share of letters by which they may differ ("about a tenth").
@@ -194,8 +195,8 @@ def within(a: str, b: str, differ: float = DIFFER) -> bool:
     most = int(differ * n)
     if abs(len(a) - len(b)) > most:
         return False
-    # three letters at most per edit leave a set of shingles
-    if len(shingles(a, 3) & shingles(b, 3)) < 0.75 * (n - 2 - 3 * most):
+    # an edit spoils three places at most; shingles count as often as both have them, so repeated ones reject nothing
+    if n >= 3 and (Counter(map("".join, zip(a, a[1:], a[2:]))) & Counter(map("".join, zip(b, b[1:], b[2:])))).total() < n - 2 - 3 * most:
         return False
     return edit_distance(a, b, most) <= most
 

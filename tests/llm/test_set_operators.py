@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import groups, history, overlap, pack
 from quillstream.llm.history import within
-from quillstream.llm.strings import letters
+from quillstream.llm.strings import edit_distance, letters
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -79,6 +79,19 @@ def test_repeated_rows_match_brute_force(spark):
     assert len(wrong) <= 0.01 * len(want) and len(want) > 100
 
 
+def test_long_and_repetitive_texts_are_within_reach(spark):
+    rng = random.Random(11)
+    thread = letters(sentence(rng, 1500))
+    chant = "오레오레오" * 60
+    for text in (thread, chant, "가" * 50):
+        for share in (0, 0.01, 0.06, 0.12, 0.2):
+            other = letters(damage(rng, text, share))
+            n = max(len(text), len(other))
+            assert within(text, other) == (edit_distance(text, other, n) <= int(history.DIFFER * n))
+    assert within(chant, chant[:100] + "나" + chant[101:])
+    assert repeats(spark, [(1, 0, "a", thread), (2, 0, "b", thread[:4000] + "끝" + thread[4000:]), (3, 1, "c", "새 " + thread)]) == {2: 1, 3: 1}
+
+
 def test_repeated_rows_edges(spark):
     assert repeats(spark, []) == {}
     long = sentence(random.Random(2), 3000)
