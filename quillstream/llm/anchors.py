@@ -116,6 +116,41 @@ class Segment:
         return np.maximum(x, y), np.where(x >= y, self.lines[after], self.lines[first])
 
 
+def earlier_matches(keys: np.ndarray, lines: np.ndarray, indexed: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of one batch, sorted by key and line, the length of its longest match among the indexed entries of
+    earlier lines and the earliest line that has it; 0 and -1 where none has `least` bytes.
+
+    Common prefixes shrink with distance in sorted order, so the longest match is the nearest entry of an earlier line on
+    one of the two sides. An entry of no earlier line passes the search on to the one it stopped at itself.
+    """
+    n = len(keys)
+    length, line = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    if not n:
+        return length, line
+    group = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])) - 1
+    at = np.flatnonzero(indexed)
+    first = np.full(group[-1] + 1, n, np.int64)
+    np.minimum.at(first, group[at], at)
+    head = keys.astype(f"S{least}")
+    block = np.cumsum(np.concatenate([[True], head[1:] != head[:-1]]))
+    for way in (1, -1):
+        lines_, indexed_, block_ = lines[::way], indexed[::way], block[::way]
+        near = np.concatenate([[-1], np.maximum.accumulate(np.where(indexed_, np.arange(n), -1))[:-1]])
+        todo = np.arange(n)
+        while len(todo):
+            to = near[todo]
+            near[todo[(to >= 0) & (block_[to] != block_[todo])]] = -1
+            todo = todo[near[todo] >= 0]
+            todo = todo[lines_[near[todo]] >= lines_[todo]]
+            near[todo] = near[near[todo]]
+        who = np.flatnonzero(near >= 0)
+        i, j = (who, near[who]) if way == 1 else (n - 1 - who, n - 1 - near[who])
+        m, owner = common_prefix(keys[i], keys[j], width), lines[first[group[j]]]
+        better = (m >= least) & ((m > length[i]) | ((m == length[i]) & (owner < line[i])))
+        length[i[better]], line[i[better]] = m[better], owner[better]
+    return length, line
+
+
 def merged(a: Segment, b: Segment) -> Segment:
     return Segment(np.concatenate([a.keys, b.keys]), np.concatenate([a.lines, b.lines]), max(a.level, b.level) + 1)
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.anchors import Segment, Segments, choose, prefixes
+from quillstream.llm.anchors import Segment, Segments, choose, earlier_matches, prefixes
 from quillstream.llm.strings import edit_distance, letters
 from quillstream.session import cut, fresh_path, small
 
@@ -33,6 +33,9 @@ CHOOSE, WINDOW, KEEP, LEAST_MATCH, COVER = 12, 36, 32, 18, 0.18
 SHARD_PLACES = 3_000_000
 PLACES_PER_RECORD = 22
 
+# Rows of no batch are indexed before all batches and searched after all, so that they meet every line.
+FREE, LAST = -(1 << 30), (1 << 30) - 1
+
 _BLOB = "shard int, batch int, keys binary, places binary, lines binary, sizes binary"
 _PAIRS = "bucket int, q binary, s binary, covered binary, size binary"
 
@@ -87,13 +90,15 @@ def blobs(records: DataFrame, shards: int, role: str | None = None) -> DataFrame
                 size = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=np.int32)
                 for s in range(shards):
                     at = order[ends[s] : ends[s + 1]]
-                    if len(at):
-                        owner, again = np.unique(of[at], return_inverse=True)
-                        out.append((s, batch * 2 + int(only), keys[at].tobytes(), again.astype(np.int32).tobytes(), lines[owner].tobytes(), size[owner].tobytes()))
+                    if not len(at):
+                        continue
+                    owner, again = np.unique(of[at], return_inverse=True)
+                    for code in ([batch * 2 + int(only)] if batch != FREE else [LAST * 2 + 1] if only else [FREE * 2, LAST * 2 + 1]):
+                        out.append((s, code, keys[at].tobytes(), again.astype(np.int32).tobytes(), lines[owner].tobytes(), size[owner].tobytes()))
             yield pd.DataFrame(out, columns=["shard", "batch", "keys", "places", "lines", "sizes"])
 
     only = F.col(role) if role else F.lit(False)
-    return records.select("line", "batch", "letters", only.alias("only")).mapInPandas(run, _BLOB)
+    return records.select("line", F.coalesce("batch", F.lit(FREE)).alias("batch"), "letters", only.alias("only")).mapInPandas(run, _BLOB)
 
 
 def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,8 +119,7 @@ def _search_shard(history: Segments, batches: list[tuple[int, list]]) -> Iterato
         keys, lines, sizes, only = keys[order], lines[order], sizes[order], only[order]
         own = Segment(keys[~only], lines[~only], ordered=True)
         found = []
-        for source in (history, own):
-            length, line = source.matches(keys, KEEP)
+        for length, line in (history.matches(keys, KEEP), earlier_matches(keys, lines, ~only, KEEP, LEAST_MATCH)):
             hit = (length >= LEAST_MATCH) & (line >= 0) & (line < lines)
             found.append((lines[hit], line[hit], length[hit], sizes[hit]))
         if len(own.keys):
@@ -172,11 +176,12 @@ def search(packed: DataFrame, shards: int, history: DataFrame | None = None) ->
         by_shard: dict[int, dict[int, list]] = {}
         for pdf in parts:
             for row in pdf.itertuples(index=False):
-                by_shard.setdefault(row.shard, {}).setdefault(-1 if row.old else row.batch >> 1, []).append(row)
+                if not (row.old and row.batch & 1):  # what is only searched is no history
+                    by_shard.setdefault(row.shard, {}).setdefault(None if row.old else row.batch >> 1, []).append(row)
         for shard in sorted(by_shard):
             segments = Segments()
             batches = by_shard.pop(shard)
-            for row in batches.pop(-1, []):
+            for row in batches.pop(None, []):
                 segments.add(Segment(*_unpack(row)[:2]))
             found = [x for x in _search_shard(segments, sorted(batches.items())) if len(x[0])]
             if found:

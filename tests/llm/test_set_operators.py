@@ -4,10 +4,11 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.llm import groups, history, overlap, pack
+from quillstream.llm import anchors, groups, history, overlap, pack
 from quillstream.llm.history import within
 from quillstream.llm.strings import edit_distance, letters
 
@@ -99,6 +100,35 @@ def test_repeated_rows_edges(spark):
     assert repeats(spark, rows) == {2: 1, 5: 4, 9: 1}
 
 
+def test_matches_within_a_batch_are_the_longest_of_earlier_lines():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 400):
+        keys = np.array(["".join(rng.choice(list("ab"), 8)) for _ in range(n)], dtype="S8")
+        lines, indexed = rng.integers(0, 60, n), rng.random(n) < 0.8
+        order = np.lexsort((lines, keys))
+        keys, lines, indexed = keys[order], lines[order], indexed[order]
+        length, line = anchors.earlier_matches(keys, lines, indexed, 8, 3)
+        for i in range(n):
+            found = [(len(os.path.commonprefix([keys[i], keys[j]])), -int(lines[j])) for j in range(n) if indexed[j] and lines[j] < lines[i]]
+            most = max((m for m, _ in found), default=0)
+            assert length[i] == (most if most >= 3 else 0)
+            # of equally long matches the earliest line of one of the nearest keys
+            assert (line[i] == -1) if most < 3 else (most, -int(line[i])) in found
+
+
+def test_near_copies_are_found_alike_within_and_across_batches_and_without_a_batch(spark):
+    rng = random.Random(12)
+    letter = lambda: chr(rng.randrange(0xAC00, 0xD7A4))
+    old = ["".join(letter() for _ in range(150)) for _ in range(150)]
+    new = ["".join(letter() if i % 25 == 12 else c for i, c in enumerate(t)) for t in old]
+    found = {}
+    for name, batches in {"across": (0, 1), "within": (0, 0), "none": (None, None), "old none": (None, 3), "new none": (3, None)}.items():
+        found[name] = repeats(spark, [(n + 1000 * k, b, f"{k}-{n}", t) for k, (b, texts) in enumerate(zip(batches, (old, new))) for n, t in enumerate(texts)])
+    want = {1000 + n: n for n in range(150)}
+    assert all(got.items() <= want.items() for got in found.values())
+    assert len(found["across"]) >= 140 and all(got == found["across"] for got in found.values())
+
+
 def test_a_batch_needs_only_the_segments_of_earlier_ones(spark):
     rng = random.Random(3)
     old = [(n, 0, sentence(rng, 20)) for n in range(40)]
