@@ -27,7 +27,12 @@ _OTHER = re.compile("[Ͱ-ӿ]")
 # What is no text of a language: links, tags, mentions and credit lines or phrases.
 _LINK = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+")
 _TAG = re.compile(r"[#@][^\s#@]+")
-_CREDIT = re.compile(r"(?i)(?:^|(?<=[\s(\[]))(?:thanks to|edit by|edited by|bgm\s*:|music\s*:|feat\.?|ft\.|prod\.?(?: by)?|w/|cr\.|credit\s*:|sub by|art by|mix by)\s*[^\s)\]\n]*.*$", re.M)
+# A credit ends with its name: one word, and up to three more that are written as names if nothing but an end follows.
+_CREDIT = re.compile(
+    r"(?:^|(?<=[\s(\[]))(?i:thanks to|edit by|edited by|bgm\s*:|music\s*:|feat\b\.?|ft\.|prod\b\.?(?: by)?|w/|cr\.|credit\s*:|sub by|art by|mix by)"
+    r"[^\S\n]*[^\s)\]|/。！？]*(?:(?:[^\S\n]+(?:[A-ZÀ-Þ][\w'’-]*|&)){1,3}(?=[^\S\n]*(?:$|[|/)\]。.!?…])))?",
+    re.M,
+)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])[\"'”’」』)\]]*\s*|\n+|(?<=다[~])\s+| \| |(?<=~)\s+")
 
 

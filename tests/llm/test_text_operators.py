@@ -85,6 +85,19 @@ def test_segments_leave_out_links_tags_and_credits():
     assert segments("") == segments("123 😂") == []
 
 
+@pytest.mark.parametrize("text, kept", [
+    ("BGM: Ryoskeryo / Mientras los comentarios enloquecieron, el gato huyó", ["/ Mientras los comentarios enloquecieron, el gato huyó"]),
+    ("Edit by Ipiwezhokul In clip 67, Tamdraponho says that", ["In clip 67, Tamdraponho says that"]),
+    ("feat. Ryoquavel 猫が笑った。犬が走った。", ["猫が笑った。", "犬が走った。"]),
+    ("고양이가 숨었다 ft. Ryovelkul | The cat hid.", ["고양이가 숨었다", "The cat hid."]),
+    ("A cat (music: Some One) ran. It hid.", ["A cat ( ) ran.", "It hid."]),
+    ("Edited by Anna Maria Smith", []), ("Thanks to Foo. Then we left.", ["Then we left."]),
+    ("A new feature and product.", ["A new feature and product."]),
+])
+def test_text_after_a_credit_stays(text, kept):
+    assert segments(text) == kept
+
+
 @needs_data
 def test_relabelled(spark, samples):
     by = {}
