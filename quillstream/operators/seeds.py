@@ -45,11 +45,11 @@ def comparison_frame(core):
     return F.when(ok, F.struct(prefix.alias("prefix"), left.alias("left"), target.alias("right"), F.concat(F.lower(prefix), F.lit("|indistinguishable")).alias("frame_key")))
 
 
-def plan_seeds(videos: DataFrame, max_seeds: int) -> DataFrame:
+def plan_seeds(videos: DataFrame, max_seeds: int | None) -> DataFrame:
     """(seed_id, query, kind, score, video_ids, channel_ids): proposed spans that literally occur in a title or description.
 
     Six kinds of proposals; equal spans (composed, case-folded) merge into the one of the best score. max_seeds is the
-    operator's top list. Titles of news propose nothing.
+    operator's top list; None gives all seeds, in no order. Titles of news propose nothing.
     """
 
     @F.pandas_udf("array<struct<span:string,kind:string>>")
@@ -94,7 +94,8 @@ def plan_seeds(videos: DataFrame, max_seeds: int) -> DataFrame:
         F.min_by(F.struct("seed_id", "query", "kind", "score"), F.struct((-F.col("score")).alias("s"), "seed_id", "query")).alias("best"),
         F.array_sort(F.collect_set("video_id")).alias("video_ids"), F.array_sort(F.collect_set("channel_id")).alias("channel_ids"),
     )
-    return merged.select("best.*", "video_ids", "channel_ids").orderBy(F.desc("score"), "seed_id").limit(max_seeds)
+    seeds = merged.select("best.*", "video_ids", "channel_ids")
+    return seeds if max_seeds is None else seeds.orderBy(F.desc("score"), "seed_id").limit(max_seeds)
 
 
 def followups(seeds: DataFrame, videos: DataFrame, limit: int = 3) -> DataFrame:

@@ -37,8 +37,10 @@ def op_review(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op_identify(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold one of the fifty most shared title frames."""
-    families = _phrases(spark, d).select(F.col("candidate_id").alias("family_id"), F.col("phrase").alias("label"), F.lit("literal").alias("kind"), F.lit("2024-01-01T00:00:00Z").alias("available_at"))
+    """Documents that hold any shared title frame, or the expression or comparison frame of any seed."""
+    frames = R.shared_frames(table(spark, d, "video_cards"), 3, 3).select(T.hash_id("c_", F.col("frame")).alias("family_id"), F.col("frame").alias("label"), F.lit("literal").alias("kind"))
+    seeds = S.plan_seeds(_videos(spark, d), None).select(F.col("seed_id").alias("family_id"), F.col("query").alias("label"), "kind")
+    families = frames.unionByName(seeds).withColumn("available_at", F.lit("2024-01-01T00:00:00Z"))
     return R.identify(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), families, "2024-06-01T00:00:00Z")
 
 

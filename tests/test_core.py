@@ -18,6 +18,7 @@ from quillstream.operators import temporal as P
 from quillstream.operators.admission import admit
 from quillstream.operators.asof import PersistentTree, as_known_at
 from quillstream.operators.ranks import salted_rank
+from quillstream.plans import review as Q
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -294,3 +295,23 @@ def test_title_variations_match_all_pairs(spark):
     got = R.title_variations(df).collect()
     assert len(got) == len(want) and {(r["left"], r["right"]): (r["frame"], r["changes"]) for r in got} == want
     assert any(i > 200 for i, _ in want)
+
+
+def test_lookup_uses_every_family_and_comparison_frames(spark, tmp_path):
+    words = [f"낱말{chr(0xAC00 + n)}" for n in range(80)]
+    titles = [f"{w} 모두가 웃었다 {n}" for w in words for n in range(3)] + ["아주 진지한 고양이는 강아지와 구분할 수 없다"]
+    rows = [card(n, t, f"c{n % 3}") for n, t in enumerate(titles)]
+    spark.createDataFrame(rows, CARD).write.parquet(f"{tmp_path}/video_cards.parquet")
+    texts = [f"어제 {w} 모두가 웃었다 {n} 했다" for n, w in enumerate(words)] + ["아주 진지한 수달은 너구리와 구분할 수 없다", "아무것도 아닌 글", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.op_identify(spark, str(tmp_path)).collect()
+    assert {r["text_id"] for r in got if r["match_type"] == "exact_observed_expression"} == set(range(80))
+    assert {r["text_id"] for r in got if r["match_type"] == "shared_observed_sentence_frame"} == {80}
+
+
+def test_lookup_matches_a_loop(spark):
+    rng = random.Random(6)
+    make = lambda a, b: "".join(rng.choice("abA ") for _ in range(rng.randrange(a, b)))
+    texts, families = [(n, make(0, 60)) for n in range(120)], [(f"f{n}", make(1, 12), "literal", "2024-01-01T00:00:00Z") for n in range(300)]
+    got = R.identify(spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(families, "family_id string, label string, kind string, available_at string"), "2024-06-01T00:00:00Z").collect()
+    assert {(r["text_id"], r["family_id"]) for r in got} == {(i, f) for i, t in texts for f, x, *_ in families if len(x) >= 3 and x.lower() in t.lower()}
