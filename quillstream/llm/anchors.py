@@ -92,28 +92,29 @@ def common_prefix(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
 
 
 class Segment:
-    """An immutable suffix array: suffix prefixes in sorted order, each with the line of its record."""
+    """An immutable suffix array: distinct suffixes in sorted order, each with the earliest line that has it and that record's size."""
 
-    __slots__ = ("keys", "lines", "level")
+    __slots__ = ("keys", "lines", "sizes")
 
-    def __init__(self, keys: np.ndarray, lines: np.ndarray, level: int = 0, ordered: bool = False):
-        if not ordered:
-            order = np.lexsort((lines, keys)) if len(keys) else np.zeros(0, np.int64)
-            keys, lines = keys[order], lines[order]
-        self.keys, self.lines, self.level = keys, lines, level
+    def __init__(self, keys: np.ndarray, lines: np.ndarray, sizes: np.ndarray, ordered: bool = False):
+        if not ordered and len(keys):
+            order = np.argsort(lines, kind="stable")
+            order = order[np.argsort(keys[order], kind="stable")]
+            keys = keys[order]
+            order = order[first := np.concatenate([[True], keys[1:] != keys[:-1]])]
+            keys, lines, sizes = keys[first], lines[order], sizes[order]
+        self.keys, self.lines, self.sizes = keys, lines, sizes
 
-    def matches(self, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each searched prefix, the length of its longest match in the segment and the earliest line that has it.
-        Sorted prefixes are found several times faster."""
+    def matches(self, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each searched suffix, the length of its longest match, the earliest line of the nearest suffix and its size."""
         if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+            return np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
         at = np.searchsorted(self.keys, keys, side="left")
         after = np.minimum(at, len(self.keys) - 1)
         before = np.maximum(at - 1, 0)
         x, y = common_prefix(keys, self.keys[after], width), common_prefix(keys, self.keys[before], width)
-        # equal prefixes are ordered by line, so the place found is the earliest line of them; before it, go to the first of its own
-        first = np.searchsorted(self.keys, self.keys[before], side="left")
-        return np.maximum(x, y), np.where(x >= y, self.lines[after], self.lines[first])
+        best = np.where((x > y) | ((x == y) & (self.lines[after] <= self.lines[before])), after, before)
+        return np.maximum(x, y), self.lines[best], self.sizes[best]
 
 
 def earlier_matches(keys: np.ndarray, lines: np.ndarray, indexed: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,24 +153,5 @@ def earlier_matches(keys: np.ndarray, lines: np.ndarray, indexed: np.ndarray, wi
 
 
 def merged(a: Segment, b: Segment) -> Segment:
-    return Segment(np.concatenate([a.keys, b.keys]), np.concatenate([a.lines, b.lines]), max(a.level, b.level) + 1)
-
-
-class Segments:
-    """Segments of a log-structured history: two of one level merge into one of the next."""
-
-    def __init__(self):
-        self.parts: list[Segment] = []
-
-    def add(self, segment: Segment) -> None:
-        while self.parts and self.parts[-1].level <= segment.level:
-            segment = merged(self.parts.pop(), segment)
-        self.parts.append(segment)
-
-    def matches(self, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        length, line = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
-        for s in self.parts:
-            n, at = s.matches(keys, width)
-            better = (n > length) | ((n == length) & (n > 0) & ((at < line) | (line < 0)))
-            length, line = np.where(better, n, length), np.where(better, at, line)
-        return length, line
+    """Both arrays in one; the sort meets two sorted runs and merges them."""
+    return Segment(np.concatenate([a.keys, b.keys]), np.concatenate([a.lines, b.lines]), np.concatenate([a.sizes, b.sizes]))

@@ -1,54 +1,65 @@
 """Deduplicating new batches against all history (problem 1).
 
-Every batch gets an immutable suffix array over the concatenated letters of its records (kept at content-chosen places,
-each with the first bytes of its suffix), cut into shards by the suffixes' first bytes. A shard binary-searches the
-batch's substrings in its history segments and in the batch itself, keeps the longest match of each with the earliest
-record that has it, and merges segments of one level into one of the next, so a history of n batches has at most log n
-segments. Match lengths are added up per pair of records; pairs with enough coverage are verified by edit distance.
-
-The state between batches is a set of segments, stored as blobs, and the letters of the records; earlier batches are
-not read again. Rows are accepted in line order: a row repeats the earliest accepted row it matches.
+Every call of admit() makes one immutable suffix array over the concatenated letters of its new records, cut into shards by
+ranges of the suffixes' bytes, so that no common phrase fills a shard. The new records' substrings are binary-searched in
+the stored arrays of earlier calls and in their own; each votes for the earliest line with its longest match, votes are
+added up per pair of records, and pairs with enough coverage are verified by edit distance. Rows are accepted in line
+order: a row repeats the earliest accepted row it matches.
+
+The state is a folder of written tables: arrays with their levels (two of one level merge into one of the next, so n calls
+leave at most log n arrays), letters, classes and ids of the records. A call reads the arrays, the classes, and the letters
+of candidates; it never tokenises, sorts or searches earlier rows again.
 """
 
 from __future__ import annotations
 
-import zlib
+import json
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.anchors import Segment, Segments, choose, earlier_matches, prefixes
+from quillstream.llm.anchors import Segment, choose, common_prefix, earlier_matches, merged, prefixes
 from quillstream.llm.strings import edit_distance, letters
-from quillstream.session import cut, fresh_path, small
+from quillstream.session import fresh_path, keep, small
 
 #: Letters from which two texts are compared; share of letters by which they may differ ("about a tenth").
 LEAST_LETTERS, DIFFER = 45, 0.125
-#: Bytes hashed to choose a place; bytes of a window; bytes kept of a suffix; least match; least share covered.
-CHOOSE, WINDOW, KEEP, LEAST_MATCH, COVER = 12, 36, 32, 18, 0.18
-#: Places a shard is planned to hold.
-SHARD_PLACES = 3_000_000
-PLACES_PER_RECORD = 22
+#: Bytes hashed to choose a place; bytes of a window; bytes kept of a suffix (a longer match is found by several of its
+#: places); least match; least share of a record's bytes that votes for one line must cover.
+CHOOSE, WINDOW, KEEP, LEAST_MATCH, COVER = 12, 36, 128, 18, 0.12
+#: Suffixes a shard is planned to hold, and suffixes of a usual record; records sampled for the ranges of the shards.
+SHARD_PLACES, PLACES_PER_RECORD, RANGE_SAMPLE = 1_500_000, 22, 4000
 
-# Rows of no batch are indexed before all batches and searched after all, so that they meet every line.
-FREE, LAST = -(1 << 30), (1 << 30) - 1
+_ENTRIES = "shard int, kind int, level int, a binary, b binary, c binary, d binary, e binary"
+# Kinds of packed rows: new suffixes, suffixes that are only searched, votes, a stored array's part.
+NEW, ASK, VOTES, STORED = 0, 1, 2, 3
 
-_BLOB = "shard int, batch int, keys binary, places binary, lines binary, sizes binary"
-_PAIRS = "bucket int, q binary, s binary, covered binary, size binary"
 
+def _z(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
-def prepare(rows: DataFrame, line: str, batch: str, record_id: str, text: str) -> DataFrame:
-    """(line, batch, same, near, letters, local): the id-and-text key and the letters' key of each row.
+
+def _u(x: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=dtype)
+
+
+def prepare(rows: DataFrame, line: str, record_id: str, text: str) -> DataFrame:
+    """(line, same, h, letters, local): the id-and-text key, the letters' key and the letters of each row.
 
     Within an Arrow batch only the first row of equal letters keeps its letters; the others name it in `local`.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            forms = [letters(t) if t is not None and len(t) * 18 >= LEAST_LETTERS else "" for t in pdf["t"]]
+            made: dict[str, str] = {}
+            for t in set(pdf["t"]):
+                made[t] = letters(t) if t is not None and len(t) * 18 >= LEAST_LETTERS else ""
+            forms = [made[t] for t in pdf["t"]]
             first: dict[str, int] = {}
             lines = pdf["line"].tolist()
             for f, n in zip(forms, lines):
@@ -56,142 +67,171 @@ def prepare(rows: DataFrame, line: str, batch: str, record_id: str, text: str) -
                     first[f] = n
             local = [None if len(f) < LEAST_LETTERS or first[f] == n else first[f] for f, n in zip(forms, lines)]
             kept = [f if len(f) >= LEAST_LETTERS and x is None else None for f, x in zip(forms, local)]
-            yield pd.DataFrame({
-                "line": pdf["line"], "batch": pdf["batch"], "same": pdf["same"],
-                "letters": pd.Series(kept, dtype=object), "local": pd.Series(local, dtype="Int64"),
-            })
+            yield pd.DataFrame({"line": pdf["line"], "same": pdf["same"], "letters": pd.Series(kept, dtype=object), "local": pd.Series(local, dtype="Int64")})
 
     keyed = rows.select(
-        F.col(line).cast("long").alias("line"), F.col(batch).cast("int").alias("batch"), F.col(text).alias("t"),
-        # as text: numbers with nulls among them would pass through Python as floats
-        F.when(F.col(record_id).isNotNull() & (F.length(F.col(text)) > 0), F.substring(F.sha2(F.concat_ws("\u001f", record_id, text), 256), 1, 32)).alias("same"),
+        F.col(line).cast("long").alias("line"), F.col(text).alias("t"),
+        # as bytes: numbers with nulls among them would pass through Python as floats
+        F.when(F.col(record_id).isNotNull() & (F.length(F.col(text)) > 0), F.unhex(F.substring(F.sha2(F.concat_ws("\u001f", record_id, text), 256), 1, 32))).alias("same"),
     ).where("line is not null")
-    return keyed.mapInPandas(run, "line long, batch int, same string, letters string, local long")
+    made = keyed.mapInPandas(run, "line long, same binary, letters string, local long")
+    return made.select("line", "same", F.unhex(F.substring(F.sha2("letters", 256), 1, 32)).alias("h"), "letters", "local")
+
 
+def ranges(records: DataFrame, shards: int) -> np.ndarray:
+    """Bounds of the shards, from the suffixes of a bounded sample of records: they balance the shards and change no result."""
+    texts = [r[0] for r in records.select("letters").limit(RANGE_SAMPLE).collect()]
+    data, place, _, _ = choose(texts, CHOOSE, WINDOW)
+    keys = np.unique(prefixes(data, place, KEEP))
+    if not len(keys):
+        return keys
+    return np.unique(keys[(np.arange(1, shards) * len(keys)) // shards])
 
-def blobs(records: DataFrame, shards: int, role: str | None = None) -> DataFrame:
-    """The suffix-array entries of the records' letters, packed per Arrow batch of records and shard.
 
-    `role` names a boolean column: true for records that are only searched, not indexed.
+def entries(records: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """The suffixes of the records' letters, packed per Arrow batch of records and shard.
+
+    Of equal suffixes within an Arrow batch the earliest line's goes to the shard; the others vote for that line at once, so
+    the parts of a large group of near copies don't meet in one shard. A suffix that shares its start with the next
+    shard's range is searched there too.
     """
+    edges = bounds
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            texts, lines = pdf["letters"].tolist(), pdf["line"].to_numpy(np.int64)
+            data, place, of, _ = choose(texts, CHOOSE, WINDOW)
             out = []
-            for (batch, only), part in pdf.groupby(["batch", "only"]):
-                texts, lines = part["letters"].tolist(), part["line"].to_numpy(np.int64)
-                data, place, of, h = choose(texts, CHOOSE, WINDOW)
-                if not len(place):
-                    continue
+            if len(place):
+                n_bytes = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=np.int32)
+                n_letters = np.array([len(t) for t in texts], dtype=np.int32)
+                start = np.concatenate([[0], np.cumsum(n_bytes.astype(np.int64) + CHOOSE + WINDOW)[:-1]])
+                after = np.concatenate([place[1:], [0]])
+                last = np.concatenate([of[1:] != of[:-1], [True]])
+                gap = np.minimum(np.where(last, start[of] + n_bytes[of], after) - place, KEEP).astype(np.uint8)
                 keys = prefixes(data, place, KEEP)
-                shard = (h % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                ends = np.searchsorted(shard[order], np.arange(shards + 1))
-                size = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=np.int32)
-                for s in range(shards):
-                    at = order[ends[s] : ends[s + 1]]
-                    if not len(at):
-                        continue
-                    owner, again = np.unique(of[at], return_inverse=True)
-                    for code in ([batch * 2 + int(only)] if batch != FREE else [LAST * 2 + 1] if only else [FREE * 2, LAST * 2 + 1]):
-                        out.append((s, code, keys[at].tobytes(), again.astype(np.int32).tobytes(), lines[owner].tobytes(), size[owner].tobytes()))
-            yield pd.DataFrame(out, columns=["shard", "batch", "keys", "places", "lines", "sizes"])
-
-    only = F.col(role) if role else F.lit(False)
-    return records.select("line", F.coalesce("batch", F.lit(FREE)).alias("batch"), "letters", only.alias("only")).mapInPandas(run, _BLOB)
-
-
-def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = np.frombuffer(row.keys, dtype=f"S{KEEP}")
-    places = np.frombuffer(row.places, dtype=np.int32)
-    return keys, np.frombuffer(row.lines, dtype=np.int64)[places], np.frombuffer(row.sizes, dtype=np.int32)[places]
-
-
-def _search_shard(history: Segments, batches: list[tuple[int, list]]) -> Iterator[tuple]:
-    """Replays the batches of a shard in order: search in history and in the batch, then add the batch's segment."""
-    for _, rows in batches:
-        parts = [(row.batch & 1, *_unpack(row)) for row in rows]
-        keys = np.concatenate([p[1] for p in parts])
-        lines = np.concatenate([p[2] for p in parts])
-        sizes = np.concatenate([p[3] for p in parts])
-        only = np.concatenate([np.full(len(p[1]), p[0], bool) for p in parts])
-        order = np.lexsort((lines, keys))
-        keys, lines, sizes, only = keys[order], lines[order], sizes[order], only[order]
-        own = Segment(keys[~only], lines[~only], ordered=True)
-        found = []
-        for length, line in (history.matches(keys, KEEP), earlier_matches(keys, lines, ~only, KEEP, LEAST_MATCH)):
-            hit = (length >= LEAST_MATCH) & (line >= 0) & (line < lines)
-            found.append((lines[hit], line[hit], length[hit], sizes[hit]))
-        if len(own.keys):
-            history.add(own)
-        yield tuple(np.concatenate(x) for x in zip(*found))
-
-
-def _pack_pairs(parts: list[tuple], buckets: int) -> pd.DataFrame:
-    """Pairs of a shard, added up, in one compressed blob per bucket of q."""
-    q, s, n, size = (np.concatenate(x) for x in zip(*parts))
+                order = np.lexsort((lines[of],))
+                order = order[np.argsort(keys[order], kind="stable")]
+                key = keys[order]
+                head = np.concatenate([[True], key[1:] != key[:-1]])
+                owner = lines[of[order]][np.flatnonzero(head)[np.cumsum(head) - 1]]
+                again = ~head & (owner != lines[of[order]])
+                if again.any():
+                    q = of[order[again]]
+                    full = np.char.str_len(key[again]).astype(np.int64)
+                    ok = full >= LEAST_MATCH
+                    who = np.searchsorted(np.sort(lines), owner[again])
+                    s_letters = n_letters[np.argsort(lines, kind="stable")][who]
+                    ok &= np.abs(n_letters[q] - s_letters) <= DIFFER * np.maximum(n_letters[q], s_letters)
+                    if ok.any():
+                        votes = (lines[q[ok]], owner[again][ok], np.minimum(full, gap[order[again]])[ok], n_bytes[q[ok]])
+                        out += [(int(b), VOTES, 0, *x, None) for b, x in _packed(*votes, len(edges) + 1)]
+                at = order[head]
+                key = key[head]
+                shard = np.searchsorted(edges, key, side="right")
+                parts = [(at, key, shard, NEW)]
+                if len(edges):
+                    low, high = shard > 0, shard < len(edges)
+                    low[low] = common_prefix(key[low], edges[shard[low] - 1], KEEP) >= LEAST_MATCH
+                    high[high] = common_prefix(key[high], edges[shard[high]], KEEP) >= LEAST_MATCH
+                    parts += [(at[low], key[low], shard[low] - 1, ASK), (at[high], key[high], shard[high] + 1, ASK)]
+                for at, key, shard, kind in parts:
+                    for s in np.unique(shard):
+                        m = shard == s
+                        who = of[at[m]]
+                        out.append((int(s), kind, 0, _z(key[m]), _z(lines[who]), _z(n_letters[who]), _z(n_bytes[who]), _z(gap[at[m]])))
+            yield pd.DataFrame(out, columns=["shard", "kind", "level", "a", "b", "c", "d", "e"])
+
+    return records.select("line", "letters").mapInPandas(run, _ENTRIES)
+
+
+def _packed(q: np.ndarray, s: np.ndarray, n: np.ndarray, size: np.ndarray, buckets: int) -> Iterator[tuple[int, tuple]]:
+    """Votes added up per pair, as (bucket of q, packed columns)."""
     order = np.lexsort((s, q, q % buckets))
     q, s, n, size = q[order], s[order], n[order], size[order]
-    new = np.concatenate([[True], (q[1:] != q[:-1]) | (s[1:] != s[:-1])])
-    start = np.flatnonzero(new)
+    start = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (s[1:] != s[:-1])]))
     q, s, n, size = q[start], s[start], np.add.reduceat(n, start), size[start]
     ends = np.searchsorted(q % buckets, np.arange(buckets + 1))
-    rows = []
     for k in range(buckets):
-        at = slice(ends[k], ends[k + 1])
+        x = slice(ends[k], ends[k + 1])
         if ends[k] < ends[k + 1]:
-            columns = (np.diff(q[at], prepend=0).astype(np.int64), s[at], n[at].astype(np.int32), size[at].astype(np.int32))
-            rows.append((k, *(zlib.compress(x.tobytes(), 1) for x in columns)))
-    return pd.DataFrame(rows, columns=["bucket", "q", "s", "covered", "size"])
+            yield k, (_z(np.diff(q[x], prepend=0)), _z(s[x]), _z(n[x].astype(np.int32)), _z(size[x].astype(np.int32)))
+
+
+def _search_shard(stored: list[Segment], new: list, buckets: int) -> Iterator[tuple]:
+    """Votes of a shard's new suffixes, each for the earliest line of its longest match, in the stored arrays or its own."""
+    if new:
+        keys, lines, n_letters, n_bytes, gaps = (np.concatenate([_u(getattr(r, c), t) for r in new]) for c, t in zip("abcde", (f"S{KEEP}", "i8", "i4", "i4", "u1")))
+        indexed = np.concatenate([np.full(len(_u(r.e, "u1")), r.kind == NEW) for r in new])
+        order = np.argsort(lines, kind="stable")
+        order = order[np.argsort(keys[order], kind="stable")]
+        keys, lines, n_letters, n_bytes, gaps, indexed = (x[order] for x in (keys, lines, n_letters, n_bytes, gaps, indexed))
+        length, line = earlier_matches(keys, lines, indexed, KEEP, LEAST_MATCH)
+        known = np.argsort(lines, kind="stable")
+        at = np.minimum(np.searchsorted(lines[known], line), len(lines) - 1)
+        other = n_letters[known[at]]
+        for part in stored:
+            n, earliest, theirs = part.matches(keys, KEEP)
+            better = (n >= LEAST_MATCH) & ((n > length) | ((n == length) & (earliest < line)))
+            length, line, other = np.where(better, n, length), np.where(better, earliest, line), np.where(better, theirs, other)
+        hit = (length >= LEAST_MATCH) & (line >= 0) & (np.abs(n_letters - other) <= DIFFER * np.maximum(n_letters, other))
+        yield from _packed(lines[hit], line[hit], np.minimum(length, gaps)[hit].astype(np.int64), n_bytes[hit], buckets) if hit.any() else ()
+
+
+def _own_segment(new: list) -> Segment:
+    rows = [r for r in new if r.kind == NEW]
+    keys, lines, n_letters = (np.concatenate([_u(getattr(r, c), t) for r in rows]) if rows else np.zeros(0, t) for c, t in zip("abc", (f"S{KEEP}", "i8", "i4")))
+    return Segment(keys, lines, n_letters)
+
+
+def search(packed: DataFrame, buckets: int, stored: DataFrame | None = None, segments: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """((q, s), array): pairs of a new line and the one it votes for with enough coverage; with `segments`, the new array too."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_shard: dict[int, list] = {}
+        for pdf in parts:
+            for row in pdf.itertuples(index=False):
+                by_shard.setdefault(row.shard if row.kind != VOTES else -1, []).append(row)
+        columns = ["kind", "shard", "level", "a", "b", "c", "d", "e"]
+        for shard in sorted(by_shard):
+            rows = by_shard.pop(shard)
+            if shard == -1:
+                yield pd.DataFrame([(VOTES, r.shard, 0, r.a, r.b, r.c, r.d, None) for r in rows], columns=columns)
+                continue
+            new = [r for r in rows if r.kind != STORED]
+            arrays: dict[int, list] = {}
+            for r in rows:
+                if r.kind == STORED:
+                    arrays.setdefault(r.level, []).append(Segment(_u(r.a, f"S{KEEP}"), _u(r.b, "i8"), _u(r.c, "i4"), ordered=True))
+            out = [(VOTES, b, 0, *x, None) for b, x in _search_shard([s for group in arrays.values() for s in group], new, buckets)]
+            if segments and new:
+                own = _own_segment(new)
+                out.append((STORED, shard, 0, _z(own.keys), _z(own.lines), _z(own.sizes), None, None))
+            yield pd.DataFrame(out, columns=columns)
+
+    both = packed if stored is None else packed.unionByName(stored.select(*packed.columns))
+    # votes are passed on as they are, spread over the tasks
+    found = both.repartition(buckets, "shard").mapInPandas(run, "kind int, shard int, level int, a binary, b binary, c binary, d binary, e binary")
+    if segments:
+        found = keep(found)
+    pairs = found.where(F.col("kind") == VOTES).select("shard", "a", "b", "c", "d").repartition(buckets, "shard").mapInPandas(_add_up, "q long, s long")
+    return pairs, found.where(F.col("kind") == STORED).select("shard", "kind", "level", "a", "b", "c", "d", "e") if segments else None
 
 
 def _add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of the buckets of a partition whose matches, over all shards, cover enough of q."""
+    """Pairs of the buckets of a partition whose votes, over all shards, cover enough of q."""
     by_bucket: dict[int, list] = {}
     for pdf in batches:
         for row in pdf.itertuples(index=False):
-            by_bucket.setdefault(row.bucket, []).append(row)
+            by_bucket.setdefault(row.shard, []).append(row)
     for bucket in sorted(by_bucket):
         rows = by_bucket.pop(bucket)
-        base = [np.frombuffer(zlib.decompress(r.q), np.int64).copy() for r in rows]
-        q = np.concatenate([np.cumsum(x) for x in base])
-        s = np.concatenate([np.frombuffer(zlib.decompress(r.s), np.int64) for r in rows])
-        n = np.concatenate([np.frombuffer(zlib.decompress(r.covered), np.int32) for r in rows]).astype(np.int64)
-        size = np.concatenate([np.frombuffer(zlib.decompress(r.size), np.int32) for r in rows])
+        q, s, n, size = (np.concatenate(x) for x in zip(*((np.cumsum(_u(r.a, "i8")), _u(r.b, "i8"), _u(r.c, "i4").astype(np.int64), _u(r.d, "i4")) for r in rows)))
         order = np.lexsort((s, q))
         q, s, n, size = q[order], s[order], n[order], size[order]
         start = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (s[1:] != s[:-1])]))
-        n = np.add.reduceat(n, start)
-        keep = n >= size[start] * COVER
-        yield pd.DataFrame({"q": q[start][keep], "s": s[start][keep]})
-
-
-def search(packed: DataFrame, shards: int, history: DataFrame | None = None) -> DataFrame:
-    """(q, s): pairs of a line and an earlier one whose common long matches cover enough of q's letters.
-
-    `history` holds blobs of earlier batches, as blobs() makes them; they are only searched.
-    """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_shard: dict[int, dict[int, list]] = {}
-        for pdf in parts:
-            for row in pdf.itertuples(index=False):
-                if not (row.old and row.batch & 1):  # what is only searched is no history
-                    by_shard.setdefault(row.shard, {}).setdefault(None if row.old else row.batch >> 1, []).append(row)
-        for shard in sorted(by_shard):
-            segments = Segments()
-            batches = by_shard.pop(shard)
-            for row in batches.pop(None, []):
-                segments.add(Segment(*_unpack(row)[:2]))
-            found = [x for x in _search_shard(segments, sorted(batches.items())) if len(x[0])]
-            if found:
-                yield _pack_pairs(found, shards)
-
-    both = packed.withColumn("old", F.lit(False))
-    if history is not None:
-        both = both.unionByName(history.withColumn("old", F.lit(True)))
-    pairs = both.repartition(shards, "shard").mapInPandas(run, _PAIRS)
-    return pairs.repartition(shards, "bucket").mapInPandas(_add_up, "q long, s long")
+        enough = np.add.reduceat(n, start) >= size[start] * COVER
+        yield pd.DataFrame({"q": q[start][enough], "s": s[start][enough]})
 
 
 def within(a: str, b: str, differ: float = DIFFER) -> bool:
@@ -206,95 +246,197 @@ def within(a: str, b: str, differ: float = DIFFER) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def verified(pairs: DataFrame, records: DataFrame, differ: float = DIFFER) -> DataFrame:
-    """(q, s): the pairs whose letters differ by at most the share."""
+def verified(pairs: DataFrame, new: DataFrame, old: DataFrame | None = None, differ: float = DIFFER) -> DataFrame:
+    """(q, s): the pairs whose letters differ by at most the share; q is new, s new or old."""
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within(x, y, differ) for x, y in zip(a, b)], dtype=bool)
 
-    pairs = cut(pairs.select("q", "s"))
+    pairs = keep(pairs.select("q", "s"))
     side = small(pairs, pairs.count(), 24)
-    left = records.select(F.col("line").alias("q"), F.col("letters").alias("a")).join(side, "q")
-    right = records.select(F.col("line").alias("s"), F.col("letters").alias("b")).join(side, "s")
-    return left.join(right, ["q", "s"]).where(near("a", "b")).select("q", "s")
+    every = new if old is None else new.select("line", "letters").unionByName(old.select("line", "letters"))
+    left = new.select(F.col("line").alias("q"), F.col("letters").alias("a")).join(side, "q")
+    right = every.select(F.col("line").alias("s"), F.col("letters").alias("b")).join(small(pairs.select("s").distinct(), pairs.count(), 12), "s")
+    return left.join(right, "s").where(near("a", "b")).select("q", "s")
+
+
+def exact_pairs(records: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """(q, s): all pairs of a new record and an earlier or old one that differ by at most the share, by comparing every two
+    records of like length in blocks. The exact way, of quadratic cost, for small tables and for measuring recall."""
+    n = F.length("letters")
+    step = 1 / (1 - DIFFER)
+    block = F.floor(F.log(n) / F.log(F.lit(step))).cast("int")
+    q = records.select(F.col("line").alias("q"), F.col("letters").alias("a"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    s = records.select(F.col("line").alias("s"), F.col("letters").alias("b"), block.alias("block"), F.lit(False).alias("old"))
+    if old is not None:
+        s = s.unionByName(old.select(F.col("line").alias("s"), F.col("letters").alias("b"), block.alias("block"), F.lit(True).alias("old")))
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([within(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    return q.join(s, "block").where("old or s < q").where(near("a", "b")).select("q", "s")
 
 
 def resolve(pairs: DataFrame) -> DataFrame:
     """(line, of): of the lines in the pairs (line, earlier line), those not accepted and the earliest accepted match.
 
-    A line is accepted if no accepted earlier line matches it. Rounds of joins: what is accepted rejects its later
-    matches; a line whose earlier matches are all rejected is accepted.
+    A line is accepted if no accepted earlier line matches it. Rounds of joins: an s that is no q any more is accepted and
+    rejects its q; pairs of rejected lines go.
     """
-    pairs = cut(pairs.distinct())
-    accepted = cut(pairs.select(F.col("s").alias("line")).distinct().join(pairs.select(F.col("q").alias("line")).distinct(), "line", "left_anti"))
-    rejected = None
-    while True:
-        known = cut(pairs.join(accepted.select(F.col("line").alias("s")), "s", "left_semi").groupBy("q").agg(F.min("s").alias("of")).select(F.col("q").alias("line"), "of"))
-        rejected = known
-        # lines with no accepted match so far, and all of whose matches are rejected
-        open_pairs = pairs.join(known.select(F.col("line").alias("q")), "q", "left_anti").join(accepted.select(F.col("line").alias("q")), "q", "left_anti")
-        state = open_pairs.join(known.select(F.col("line").alias("s"), F.lit(1).alias("gone")), "s", "left").groupBy("q").agg(F.min(F.coalesce("gone", F.lit(0))).alias("free"))
-        new = cut(state.where("free = 1").select(F.col("q").alias("line")))
-        if new.isEmpty():
-            return rejected
-        accepted = cut(accepted.unionByName(new))
-
-
-def repeated_rows(
-    rows: DataFrame, line: str = "input_line", batch: str = "batch_id", record_id: str = "observation_id", text: str = "text"
-) -> DataFrame:
-    """(line, repeated_line): every row that repeats an accepted earlier one, with the earliest such.
-
-    A row repeats an earlier one of the same or an earlier batch with the same id and the same non-empty text, or whose
-    text has, as its own, at least LEAST_LETTERS letters of which the two differ by at most about a tenth. Rows with a
-    null line are left out; null ids and null or empty texts repeat nothing by id; extra columns are not read.
-    Equal letters count as one record (the earliest line), so groups of copies of any size meet no one but it.
+    pairs = keep(pairs.distinct())
+    left, rejected = pairs, None
+    while not left.isEmpty():
+        roots = left.select("s").distinct().join(left.select(F.col("q").alias("s")).distinct(), "s", "left_anti")
+        gone = keep(left.join(roots, "s", "left_semi").select(F.col("q").alias("line")).distinct())
+        rejected = gone if rejected is None else rejected.unionByName(gone)
+        left = keep(left.join(gone, left["q"] == gone["line"], "left_anti").join(gone, F.col("s") == gone["line"], "left_anti"))
+    if rejected is None:
+        return pairs.select(F.col("q").alias("line"), F.col("s").alias("of"))
+    # a rejected line has an accepted match: the earliest line that isn't rejected itself
+    return pairs.join(rejected, pairs["s"] == rejected["line"], "left_anti").join(rejected, pairs["q"] == rejected["line"], "left_semi").groupBy(F.col("q").alias("line")).agg(F.min("s").alias("of"))
+
+
+class State:
+    """What admit() leaves for the next call: a folder with a list of its written tables."""
+
+    def __init__(self, spark: SparkSession, path: str | None):
+        self.spark, self.path = spark, path
+        self.parts: list[dict] = [] if path is None else json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/parts.json").collect()))
+
+    def table(self, kind: str) -> DataFrame | None:
+        paths = [p["path"] for p in self.parts if p["kind"] == kind]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def arrays(self) -> DataFrame | None:
+        out = None
+        for k, p in enumerate(x for x in self.parts if x["kind"] == "array"):
+            one = self.spark.read.parquet(p["path"]).withColumn("level", F.lit(k))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def bounds(self) -> np.ndarray | None:
+        kept = self.table("bounds")
+        return None if kept is None else np.array(sorted(bytes(r[0]) for r in kept.collect()), dtype=f"S{KEEP}")
+
+    def add(self, kind: str, df: DataFrame, level: int = 0) -> None:
+        path = fresh_path(self.spark, f"history-{kind}")
+        df.write.option("compression", "zstd").parquet(path)
+        self.parts.append({"kind": kind, "path": path, "level": level})
+        if kind == "array":
+            self._merge()
+
+    def _merge(self) -> None:
+        """Two arrays of one level become one of the next; the files of both stay, as they are immutable."""
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            by_shard: dict[int, Segment] = {}
+            for pdf in parts:
+                for r in pdf.itertuples(index=False):
+                    one = Segment(_u(r.a, f"S{KEEP}"), _u(r.b, "i8"), _u(r.c, "i4"), ordered=True)
+                    by_shard[r.shard] = merged(by_shard[r.shard], one) if r.shard in by_shard else one
+            rows = [(k, STORED, 0, _z(s.keys), _z(s.lines), _z(s.sizes), None, None) for k, s in by_shard.items()]
+            yield pd.DataFrame(rows, columns=["shard", "kind", "level", "a", "b", "c", "d", "e"])
+
+        while True:
+            arrays = [p for p in self.parts if p["kind"] == "array"]
+            if len(arrays) < 2 or arrays[-1]["level"] < arrays[-2]["level"]:
+                return
+            both, level = arrays[-2:], arrays[-1]["level"] + 1
+            self.parts = [p for p in self.parts if p not in both]
+            df = self.spark.read.parquet(*[p["path"] for p in both])
+            path = fresh_path(self.spark, "history-array")
+            df.repartition(max(1, len(self.bounds()) + 1), "shard").mapInPandas(run, _ENTRIES).write.option("compression", "zstd").parquet(path)
+            self.parts.append({"kind": "array", "path": path, "level": level})
+
+    def save(self) -> str:
+        """Writes the list of parts to a new folder; the old state stays usable."""
+        path = fresh_path(self.spark, "history-state")
+        self.spark.createDataFrame([(json.dumps(self.parts),)], "value string").coalesce(1).write.text(f"{path}/parts.json")
+        return path
+
+
+def admit(
+    rows: DataFrame, state: str | None = None, save: bool = True, exact: bool = False,
+    line: str = "input_line", record_id: str = "observation_id", text: str = "text",
+) -> tuple[DataFrame, str | None]:
+    """((line, repeated_line), new state): every row that repeats an accepted earlier one, with the earliest such.
+
+    rows: one new batch or several; state: what the last call returned, None for an empty history. A row repeats an earlier
+    one of the same id and the same non-empty text, or whose text has, as its own, at least LEAST_LETTERS letters of which
+    the two differ by at most about a tenth. Earlier are the rows of the history and those of a smaller line. With `exact`,
+    all records of like length are compared (small tables only). Rows with a null line are left out; null ids and null or
+    empty texts repeat nothing by id; batches don't matter beside lines; extra columns are not read. Equal letters count as
+    one record (the earliest line), so groups of copies of any size meet no one but it.
     """
     spark = rows.sparkSession
-    path = fresh_path(spark, "letters")
-    prepare(rows, line, batch, record_id, text).write.option("compression", "zstd").parquet(path)
-    prepared = spark.read.parquet(path)
-    # short texts: same id and same text
+    old = State(spark, state)
+    prepared = keep(prepare(rows, line, record_id, text))
+    # the same id and the same text; texts with enough letters are met by their letters
     short = prepared.where("same is not null and letters is null and local is null").select("line", "same")
-    first = short.groupBy("same").agg(F.min("line").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    by_id = short.join(first, "same").where("of < line").select("line", "of")
+    ids = short.groupBy("same").agg(F.min("line").alias("of"), F.count(F.lit(1)).alias("n"))
+    known_ids = old.table("ids")
+    if known_ids is not None:
+        ids = ids.join(known_ids.groupBy("same").agg(F.min("line").alias("before")), "same", "left").withColumn("of", F.coalesce("before", "of"))
+        by_id = short.join(ids.where("n > 1 or before is not null").select("same", "of"), "same").where("of <> line").select("line", "of")
+    else:
+        by_id = short.join(ids.where("n > 1").select("same", "of"), "same").where("of < line").select("line", "of")
     # equal letters: the earliest line stands for them
-    long = prepared.where("letters is not null").select("line", "batch", "letters")
-    keyed = long.select("line", F.xxhash64("letters").alias("h"), F.sha2("letters", 256).substr(1, 16).alias("h2"))
-    first_of = Window.partitionBy("h", "h2")
-    copies = cut(keyed.withColumn("of", F.min("line").over(first_of)).where("of < line").select("line", "of"))
-    n_copies = copies.count()
-    records = long.join(small(copies.select("line"), n_copies, 16), "line", "left_anti")
-    n = long.count() - n_copies
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * PLACES_PER_RECORD // SHARD_PLACES + 1)
-    pairs = cut(verified(search(blobs(records, shards), shards), long))
-    # records that only met later copies of what they repeat: search again among the first of each group alone
-    while True:
-        members = pairs.select(F.col("q").alias("line")).union(pairs.select(F.col("s").alias("line"))).distinct()
-        later = pairs.select(F.col("q").alias("line")).distinct().withColumn("later", F.lit(True))
-        members = cut(members.join(later, "line", "left").withColumn("later", F.coalesce("later", F.lit(False))))
-        involved = cut(long.join(small(members, members.count(), 20), "line"))
-        found = verified(search(blobs(involved, shards, "later"), shards).join(pairs, ["q", "s"], "left_anti"), involved)
-        more = cut(found)
-        pairs = cut(pairs.unionByName(more))
-        # only a new match of a first record can make others first
-        if more.join(later.select(F.col("line").alias("q")), "q", "left_anti").isEmpty():
-            break
-    near = resolve(pairs)
+    long = prepared.where("letters is not null").select("line", "h", "letters")
+    several = keep(long.groupBy("h").agg(F.min("line").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "of"))
+    copies = keep(long.select("line", "h").join(small(several, several.count(), 32), "h").where("of < line").select("line", "of"))
+    records = long.join(small(copies.select("line"), copies.count(), 16), "line", "left_anti")
+    answers, old_texts, classes = None, None, old.table("classes")
+    if classes is not None:  # letters that history has: its accepted line stands for them
+        old_texts = old.table("texts")
+        met = keep(records.select("line", "h").join(classes.select("h", F.coalesce("of", "line").alias("of")), "h").select("line", "of"))
+        answers = met
+        records = keep(records.join(small(met.select("line"), met.count(), 16), "line", "left_anti"))
+    if exact:
+        pairs, array = exact_pairs(records, old_texts), None
+    else:
+        bounds = old.bounds()
+        if bounds is None:
+            n = records.count()
+            bounds = ranges(records, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * PLACES_PER_RECORD // SHARD_PLACES + 1))
+        pairs, array = search(entries(records, bounds), len(bounds) + 1, old.arrays(), save)
+        if classes is not None:  # what history rejected stands for the line it repeats
+            pairs = pairs.join(classes.select(F.col("line").alias("s"), F.col("of").alias("known")), "s", "left").select("q", F.coalesce("known", "s").alias("s")).distinct()
+        pairs = verified(pairs, records, old_texts)
+    pairs = keep(pairs)
+    near = keep(resolve(pairs))
     # an earlier accepted match may be no one's longest match: look for it among the matches of one's matches
-    while True:
+    while not exact:
         links = pairs.select("q", F.col("s").alias("r")).union(pairs.select(F.col("s").alias("q"), F.col("q").alias("r")))
         further = links.join(near.select(F.col("line").alias("r"), F.col("of").alias("s")), "r").where("s < q").select("q", "s").distinct()
-        more = cut(verified(further.join(pairs, ["q", "s"], "left_anti"), involved))
+        more = keep(verified(further.join(pairs, ["q", "s"], "left_anti"), records, old_texts))
         if more.isEmpty():
             break
-        pairs = cut(pairs.unionByName(more))
-        near = resolve(pairs)
-    answers = near.unionByName(
-        copies.join(near.select(F.col("line").alias("of"), F.col("of").alias("x")), "of", "left")
-        .select("line", F.coalesce("x", "of").alias("of"))
+        pairs = keep(pairs.unionByName(more))
+        near = keep(resolve(pairs))
+    answers = near if answers is None else near.unionByName(answers)
+    answers = answers.unionByName(
+        copies.join(answers.select(F.col("line").alias("of"), F.col("of").alias("x")), "of", "left").select("line", F.coalesce("x", "of").alias("of"))
     )
+    if save:  # by_id and local rows leave nothing new behind
+        answers = keep(answers)
     local = prepared.where("local is not null").select("line", F.col("local").alias("at"))
     by_local = local.join(answers.select(F.col("line").alias("at"), "of"), "at", "left").select("line", F.coalesce("of", "at").alias("of"))
-    return by_id.unionByName(answers).unionByName(by_local).select("line", F.col("of").alias("repeated_line"))
+    found = by_id.unionByName(answers).unionByName(by_local).select("line", F.col("of").alias("repeated_line"))
+    if not save:
+        return found, None
+    if known_ids is None and not exact:
+        old.add("bounds", spark.createDataFrame([(bytes(b),) for b in bounds], "bound binary"))
+    old.add("ids", ids.select("same", F.col("of").alias("line")))
+    old.add("classes", records.select("line", "h").join(answers, "line", "left").select("line", "h", "of"))
+    # sorted, so that a scan for some lines skips most row groups; rejected records are never compared again
+    old.add("texts", records.select("line", "letters").join(answers, "line", "left_anti").sort("line"))
+    if array is not None:
+        old.add("array", array)
+    return found, old.save()
+
+
+def repeated_rows(rows: DataFrame, line: str = "input_line", record_id: str = "observation_id", text: str = "text") -> DataFrame:
+    """(line, repeated_line): admit() of all rows at once, without leaving a state."""
+    return admit(rows, save=False, line=line, record_id=record_id, text=text)[0]
