@@ -3,8 +3,10 @@
 Every letter has a random vector of +1 and -1. An n-gram's vector binds its letters' vectors, each permuted by its
 place; a profile bundles the n-gram vectors of its text. A segment is compared with the languages' prototypes by
 cosine. N-grams are weighted by what they tell about the language (one minus the normalised entropy over the languages;
-n-grams of no sample weigh nothing). As cosines are linear in the bundle, the product of an n-gram with each prototype
-is computed once and summed per segment, which gives the numerators that building each segment's vector would give.
+n-grams of no sample weigh nothing). A bundle's product with a prototype is the sum of its n-grams' products, so these are
+computed once per n-gram and bundle vectors are never written out: the numerators are those of the bundles, and their
+lengths follow from the counts of distinct n-grams, whose vectors are as good as orthogonal (bundle() gives the vector
+itself, for tests of both).
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import unicodedata
 
 import numpy as np
 
-from quillstream.llm.looks import CYRILLIC, GREEK, _tables
+from quillstream.llm.looks import CYRILLIC, GREEK, resolved
 
 DIMENSIONS = 2048
 #: Confidence from which a segment is sure; cosine by which a language may lag and still be taken from the document.
@@ -40,8 +42,7 @@ def plain(text: str) -> str:
     """Compatibility and invisible forms resolved; look-alike letters inside Latin words become Latin."""
     if text.isascii():
         return text
-    table, _ = _tables()
-    text = unicodedata.normalize("NFKC", text.replace("‍", "").translate(table).translate(table))
+    text = unicodedata.normalize("NFKC", resolved(text.replace("‍", "")))
     if _OTHER.search(text) and _LATIN.search(text):
         text = _WORD.sub(lambda m: m[0].translate(_ALIKE) if _LATIN.search(m[0]) and _OTHER.search(m[0]) else m[0], text)
         words = _WORD.findall(text)
@@ -139,12 +140,24 @@ class Profiles:
         at = np.minimum(np.searchsorted(self.seen, ids), len(self.seen) - 1)
         hit = self.seen[at] == ids
         at, of = at[hit], of[hit]
+        # a bundle holds each distinct n-gram once, weighted by the root of its count, as the prototypes do
+        distinct, times = np.unique(of * len(self.seen) + at, return_counts=True)
+        of, at = np.divmod(distinct, len(self.seen))
+        root = np.sqrt(times)
         sums = np.zeros((len(texts), len(self.langs)), dtype=np.float64)
         for k in range(len(self.langs)):
-            sums[:, k] = np.bincount(of, weights=self.products[at, k], minlength=len(texts))
-        norm = np.sqrt(np.bincount(of, weights=self.weights[at].astype(np.float64) ** 2, minlength=len(texts)) * self.dimensions)
+            sums[:, k] = np.bincount(of, weights=self.products[at, k] * root, minlength=len(texts))
+        # letters' vectors are random, so n-gram vectors are as good as orthogonal and squared lengths add up
+        norm = np.sqrt(np.bincount(of, weights=self.weights[at].astype(np.float64) ** 2 * times, minlength=len(texts)) * self.dimensions)
         return (sums / np.maximum(norm, 1e-9)[:, None]).astype(np.float32)
 
+    def bundle(self, text: str) -> np.ndarray:
+        """The bundle vector of one text (plain()), as cosines() stands for it."""
+        ids, times = np.unique(_grams(*_codes([text]))[0], return_counts=True)
+        at = np.minimum(np.searchsorted(self.seen, ids), len(self.seen) - 1)
+        hit = self.seen[at] == ids
+        return (np.sqrt(times[hit]) * self.weights[at[hit]]) @ self.vectors(ids[hit])
+
     def of_card(self, parts: list[str], cos: np.ndarray) -> list[tuple[str, float]]:
         """Languages of the segments of one document; an unsure segment takes a language the others are sure of, if near."""
         z = np.exp(20 * (cos - cos.max(axis=1, keepdims=True)))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.session import keep
+
 # Letters of other scripts and the letter they look like (from the public Unicode confusables data).
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜасеорхуѕіјһԁԛԝӏԍү", "ABESIJKMHOPCTYXYGQWaceopxysijhdqwlgy"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿαγινορυϲϳ", "ABEZHIKMNOPTYXCJayivopucj"))
@@ -26,6 +28,8 @@ SAME_LETTER = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<media
 #: Ignorable characters that aren't of the format category.
 IGNORABLE = [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0000, 0xE1000)]
 JOINER = "‍"
+#: Rows of a group from which its pairs are split.
+GROUP_PART = 2000
 
 
 @lru_cache(maxsize=1)
@@ -60,6 +64,26 @@ def _tables() -> tuple[dict[int, str], dict[int, str]]:
     return plain, alike
 
 
+@lru_cache(maxsize=1)
+def _mapped() -> re.Pattern:
+    """Finds a character that the map before composing changes, so that other texts aren't translated."""
+    points, spans = sorted(_tables()[0]), []
+    for cp in points:
+        if spans and cp == spans[-1][1] + 1:
+            spans[-1][1] = cp
+        else:
+            spans.append([cp, cp])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+
+
+def resolved(text: str) -> str:
+    """Compatibility forms as plain letters, spaces as plain ones, ignorable characters gone; twice, as forms hold forms."""
+    if not _mapped().search(text):
+        return text
+    plain = _tables()[0]
+    return text.translate(plain).translate(plain)
+
+
 _LONE_JOINER = re.compile("(?<![←-⯿\U0001f000-\U0001faff️\U0001f3fb-\U0001f3ff])‍|‍(?![←-⯿\U0001f000-\U0001faff])")
 
 
@@ -68,10 +92,10 @@ def canonical(text: str, fold: bool = True) -> str:
     if text.isascii():
         text = text.replace("\t", " ")
         return text.casefold() if fold else text
-    plain, alike = _tables()
+    alike = _tables()[1]
     if JOINER in text:
         text = _LONE_JOINER.sub("", text)
-    text = text.translate(plain).translate(plain)
+    text = resolved(text)
     text = unicodedata.normalize("NFD", unicodedata.normalize("NFC", text)).translate(alike)
     text = unicodedata.normalize("NFKC" if fold else "NFC", text)
     return unicodedata.normalize("NFC", text.casefold()).translate(alike) if fold else text
@@ -101,15 +125,12 @@ def same_look_pairs(df: DataFrame, id_col: str, group_col: str, fields: list[str
         F.col(group_col).alias("grp"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"),
     ).select("id", "grp", "x.field", "x.text").where("grp is not null and text is not null and text <> ''")
-    long = long.withColumn("look", F.xxhash64(canonical_column(F.col("text"), False))).withColumn("raw", F.xxhash64("text"))
-    classes = long.select("grp", "field", "look", "raw").distinct()
-    mixed = classes.groupBy("grp", "field", "look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    few = long.join(mixed, ["grp", "field", "look"]).select("id", "grp", "field", "look", "raw").distinct()
-    a = few.select("grp", "field", "look", F.col("raw").alias("raw_a"), F.col("id").alias("id_a"))
-    b = few.select("grp", "field", "look", F.col("raw").alias("raw_b"), F.col("id").alias("id_b"))
-    return (
-        a.join(b, ["grp", "field", "look"])
-        .where("raw_a <> raw_b and id_a < id_b")
-        .select("id_a", "id_b", "field")
-        .distinct()
-    )
+    # the form is made once; the hashes, without the texts, serve both sides
+    hashed = keep(long.select("id", "grp", "field", F.xxhash64(canonical_column(F.col("text"), False)).alias("look"), F.xxhash64("text").alias("raw")).distinct())
+    mixed = hashed.groupBy("grp", "field", "look").agg(F.min("raw").alias("least"), F.max("raw").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
+    # the pairs of a hot group are split over its parts: one side once, the other in every part
+    mixed = mixed.select("grp", "field", "look", F.ceil(F.col("n") / GROUP_PART).cast("int").alias("parts"))
+    few = hashed.join(mixed, ["grp", "field", "look"])
+    a = few.select("grp", "field", "look", F.pmod(F.xxhash64("id", "raw"), "parts").cast("int").alias("part"), F.col("raw").alias("raw_a"), F.col("id").alias("id_a"))
+    b = few.select("grp", "field", "look", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("raw").alias("raw_b"), F.col("id").alias("id_b"))
+    return a.join(b, ["grp", "field", "look", "part"]).where("raw_a <> raw_b and id_a < id_b").select("id_a", "id_b", "field").distinct()

@@ -4,6 +4,7 @@ import os
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -177,3 +178,36 @@ def test_encoding_equals_the_public_library(spark):
     got = sorted((r["doc_id"], list(r["ids"])) for r in E.encode(df, "doc_id", "text").collect())
     assert got == [(1, []), (2, []), (3, t.encode("hi").ids), (3, t.encode("hi").ids)]
     assert [r[0] for r in df.orderBy("doc_id").select(E.token_counts(F.col("text"))).collect()][:2] == [0, 0]
+
+
+def test_cosines_are_those_of_the_bundles():
+    samples = [("en", "the cat sat on the mat and the dog ran"), ("de", "die Katze sitzt auf der Matte und der Hund lief"), ("ko", "고양이가 매트 위에 앉았고 강아지는 달렸다")]
+    p = Profiles(samples * 3)
+    texts = ["the dog sat on the dog", "der Hund auf der Matte", "강아지가 앉았다 앉았다", ""]
+    got = p.cosines(texts)
+    for text, row in zip(texts[:3], got):
+        v = p.bundle(text)
+        assert np.abs(row - p.prototypes @ v / np.linalg.norm(v)).max() < 0.1
+    assert not got[3].any()
+
+
+def test_refusals_are_aligned_with_templates_not_listed():
+    r = responses.Refusals(responses.refusal_templates())
+    declining = [
+        "I'm afraid I cannot create content of this kind.", "Sorry, but I won’t be able to provide an answer to your question.", "My apologies. I am not able to complete this request as asked.",
+        "저는 이런 종류의 글은 작성해 드릴 수 없습니다.", "죄송합니다. 요청하신 내용에는 답변드리기 어렵습니다.", "유감스럽지만 해당 작업은 수행할 수가 없습니다.",
+        "恐れ入りますが、この件については回答できません。", "大変申し訳ございませんが、ご要望の文章は提供いたしかねます。", "很抱歉，我无法为您撰写这段内容。",
+        "Lo siento, no puedo ayudar con esa solicitud.", "Désolé, je ne peux pas répondre à cette demande.", "Es tut mir leid, das kann ich nicht schreiben.", "Maaf, saya tidak dapat membantu permintaan itu.",
+        "Sure. Well, on reflection I must decline.",
+    ]
+    plainly = [
+        "I can't help laughing at the school band.", "웃지 않을 수 없는 지나치게 솔직한 하루.", "고양이가 프라이팬을 공중에 던졌다가 놓쳤다.", "Nobody could help the penguin find the sock.",
+        "He said that the baker cannot write, and everyone held their breath while the band played on.", "猫がドミノを抱きしめて眠った。", "", "ok",
+    ]
+    assert [x for x in declining if not r.match(x)] == [] and [x for x in plainly if r.match(x)] == []
+
+
+def test_an_output_is_truncated_by_itself():
+    whole = ["고양이가 잠들었다. #일상", "끝났습니다", "고양이가 잠들었다", "A cat slept! 😂", "", "#tag", "よかったです"]
+    cut = ["고양이가 잠들었다. 강아지가 프라", "While the cat", "복도 끝에서 873번이나 다", "A cat slept. Then the do \""]
+    assert not any(map(responses.stops_within, whole)) and all(map(responses.stops_within, cut))
