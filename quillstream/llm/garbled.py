@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
-#: Most lines of unlabelled text used, beside all labelled samples, to fit the classifier.
-FIT_LINES = 1500
+#: Most labelled samples the classifier is fit on.
+FIT_SAMPLES = 20_000
 # Chains as (true encoding, encoding it was read with, times).
 CHAINS = (
     [("utf-8", r, 1) for r in ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp866", "mac_roman", "koi8_r", "cp949", "gbk", "cp932", "big5", "iso8859_15")]
@@ -40,12 +41,15 @@ PUNCTUATED = " — “café” … ", " — “it’s fine” … ", " ñandú,
 #: Non-ASCII runs: words with such characters, with at most one plain word between two of them.
 _RUN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*(?: (?:[^ \t\r\n]{1,12} )?[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*)*")
 _WORD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
-#: Log odds, and gain in clean likelihood, from which a run counts as garbled; more per bigram where nothing is restored.
-SURE, LOST_PER_BIGRAM, LEAST_LOST, SMOOTH = 6.0, 0.3, 16, 400.0
+#: Log odds, and gain in clean likelihood, from which a run counts as garbled; odds that do beside a restoration by UTF-8;
+#: more per bigram where nothing is restored; counts added to each class.
+SURE, LIKELY, LOST_PER_BIGRAM, LEAST_LOST, SMOOTH = 6.0, -8.0, 0.3, 16, 400.0
+#: Log odds of the first fit, whose finds aren't counted: higher, so that what many documents hold is learnt as clean.
+FIRST_SURE = 8.0
+#: Share of the documents that a character is in to count as usual.
+USUAL = 0.01
 #: Pieces of a word: stretches of CJK, kana and hangul up to a sentence's end, and stretches of anything else.
 _PIECE = re.compile("[\u1100-\u11ff\u2e80-\u303f\u3040-\ud7ff\uf900-\ufaff\uff00-\uffef0-9]+?(?:[。！？]+|(?=[^\u1100-\u11ff\u2e80-\u303f\u3040-\ud7ff\uf900-\ufaff\uff00-\uffef0-9])|$)|[^ \u1100-\u11ff\u2e80-\u303f\u3040-\ud7ff\uf900-\ufaff\uff00-\uffef]+")
-#: The first byte of a character beside what is left of its next bytes, in the usual Western code pages.
-_LEAD = re.compile("[\u00c3\u00e2-\u00f0][\u0080-\u00bf\u0152-\u0192\u02c6-\u02dc\u2013-\u203a\u20ac\u2122]")
 #: Two odd characters side by side, as bytes of one letter leave them.
 _PAIR = re.compile("[\u0080-\u00ff\u0102-\u0192\u02c6-\u02dd\u0393-\u03c6\u2013-\u26ff]{2}")
 # Chains that lose bytes.
@@ -119,29 +123,25 @@ def runs(text: str) -> list[tuple[int, int]]:
 
 
 class Garbles:
-    """The classifier: log odds of every chain against the best of the clean classes (one per language, one of marks).
+    """The classifier: log odds of every chain against the best of the clean classes, one per language of the labelled samples
+    and one of marks, and as many with the counts of `corpus`, where given.
 
     Counts are smoothed towards the distribution over all classes, so that bigrams of no class speak for none.
     """
 
-    def __init__(self, samples: list[tuple[str, str]], lines: list[str] = ()):
-        langs = sorted({lang for lang, _ in samples})
-        self.n_clean = len(langs) + 1
-        clean = [[t for lang, t in samples if lang == x] for x in langs] + [[CLEAN_MARKS] * 4 + CLEAN_MARKS.split(" ") + [*PUNCTUATED] * 4]
-        sources = [*(t for _, t in samples), *PUNCTUATED]
-        self._fit(clean, sources)
-        sure = [x for x in lines if x and not x.isascii() and "\ufffd" not in x and not self.find(x)]
-        if sure:
-            for x in sure:
-                clean[int(self.scores(x)[: self.n_clean].argmax())].append(x)
-            self._fit(clean, [*sources, *sure[: len(sources)]])
-
-    def _fit(self, clean: list[list[str]], sources: list[str]) -> None:
+    def __init__(self, samples: list[tuple[str, str]], corpus: np.ndarray | None = None, usual: set[str] = frozenset(), sure: float = SURE):
+        self.samples, self.sure, langs = samples, sure, sorted({lang for lang, _ in samples})
+        marks = [CLEAN_MARKS] * 4 + CLEAN_MARKS.split(" ") + [*PUNCTUATED] * 4
+        clean = [[t for lang, t in samples if lang == x] for x in langs] + [marks]
+        sources = [*(t for _, t in samples), *PUNCTUATED, *CLEAN_MARKS.split(" ")]
+        self.n_groups, self.n_clean = len(clean), len(clean) * (1 if corpus is None else 2)
         counts = np.zeros((self.n_clean + len(CHAINS) + 1, BUCKETS), dtype=np.float64)
-        self.usual = {c for texts in clean for t in texts for c in t}
+        self.usual = {c for texts in clean for t in texts for c in t} | set(usual)
         for k, texts in enumerate(clean):
             for t in texts:
                 np.add.at(counts[k], features(t), 1)
+        if corpus is not None:
+            counts[self.n_groups : self.n_clean] = corpus
         for k, chain in enumerate(CHAINS):
             for t in sources:
                 g = garble(t, chain)
@@ -156,59 +156,90 @@ class Garbles:
         shared /= shared.sum()
         self.log = np.log((counts + SMOOTH * shared) / (counts.sum(axis=1, keepdims=True) + SMOOTH)).T.astype(np.float32).copy()
 
-    def scores(self, text: str) -> np.ndarray:
-        return self.log[features(text)].sum(axis=0)
-
-    def judge(self, run: str) -> tuple[str | None, str | None]:
-        """(chain, restored text) of a run, ("lost", None) if it is garbled beyond repair, (None, None) if it is clean."""
-        scores = self.scores(run)
-        clean = scores[: self.n_clean].max()
-        odds = scores[self.n_clean :] - clean
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood of each text in every class, and the texts' numbers of bigrams."""
+        parts = [features(t) for t in texts]
+        n = np.array([len(p) for p in parts], dtype=np.int64)
+        out = np.zeros((len(texts), self.log.shape[1]), dtype=np.float32)
+        at, block = 0, 0
+        while at < len(texts):  # so many bigrams at once as the rows of the table fit the cache
+            end, block = at, 0
+            while end < len(texts) and (block == 0 or block + n[end] <= 20_000):
+                block += n[end]
+                end += 1
+            some = np.flatnonzero(n[at:end]) + at
+            if len(some):
+                out[some] = np.add.reduceat(self.log[np.concatenate([parts[i] for i in some])], np.concatenate([[0], np.cumsum(n[some])[:-1]]), axis=0)
+            at = end
+        return out, n
+
+    def judge_all(self, texts: list[str]) -> list[tuple[str | None, str | None]]:
+        """(chain, restored text) of each run, ("lost", None) if it is garbled beyond repair, (None, None) if it is clean."""
+        if not texts:
+            return []
+        distinct = list(dict.fromkeys(texts))
+        scores, n = self.scores(distinct)
+        clean = scores[:, : self.n_clean].max(axis=1)
+        odds = scores[:, self.n_clean :] - clean[:, None]
+        found: dict[str, tuple[str | None, str | None]] = {}
+        for i in np.flatnonzero(odds.max(axis=1) >= LIKELY):
+            found[distinct[i]] = self._invert(distinct[i], float(clean[i]), odds[i], int(n[i]))
+        return [found.get(t, (None, None)) for t in texts]
+
+    def _invert(self, run: str, clean: float, odds: np.ndarray, n: int) -> tuple[str | None, str | None]:
         for k in np.argsort(-odds[:-1]):
             chain = CHAINS[k]
+            # valid UTF-8 hardly comes about by chance, so the classifier need not be as sure of it; other encodings decode
+            # almost anything, so the text must gain
             strict = chain[0] == "utf-8" and chain[1] not in ("cp949", "gbk", "cp932", "big5")
-            if not strict and odds[k] < SURE:
+            if odds[k] < (LIKELY if strict else self.sure):
                 continue
             text = restore(run, chain)
             if text is None or text == run or not readable(text) or chain[0] == "utf-8" and len(text) >= len(run):
                 continue
-            deeper = (None, None)
-            if chain[2] == 1 and strict and not text.isascii():
-                deeper = self.judge(text)
-            # valid UTF-8 hardly comes about by chance; other encodings decode almost anything, so the text must gain
-            if not strict and self.scores(text)[: self.n_clean].max() - clean < SURE:
+            if not strict and self.scores([text])[0][0, : self.n_clean].max() - clean < self.sure:
                 continue
-            return (f"{name(chain)}, {deeper[0]}", deeper[1]) if deeper[1] else (name(chain), text)
-        n = len(features(run))
-        if "\ufffd" in run or len(_LEAD.findall(run)) >= 2 or n >= LEAST_LOST and odds.max() >= SURE + LOST_PER_BIGRAM * n:
+            if chain[2] == 1 and strict and not text.isascii():
+                deeper = self.judge_all([text])[0]
+                if deeper[1]:
+                    return f"{name(chain)}, {deeper[0]}", deeper[1]
+            return name(chain), text
+        if odds[-1] >= self.sure and odds[-1] >= LOST_PER_BIGRAM * n or n >= LEAST_LOST and odds.max() >= self.sure + LOST_PER_BIGRAM * n:
             return "lost", None
         return None, None
 
     def find(self, text: str) -> list[tuple[int, int, str, str | None]]:
-        """(start, end, chain, restored) of the garbled runs of a text. A run that isn't garbled as a whole is judged by
-        words, those with characters that no clean text of the fit has."""
-        found = []
-        for a, b in runs(text):
-            chain, fixed = self.judge(text[a:b])
-            if chain and chain != "lost":
-                found.append((a, b, chain, fixed))
-                continue
-            inner = []
-            if self._odd(text[a:b]):
-                for m in _WORD.finditer(text, a, b):
-                    if self._odd(m[0]):
-                        c, f = self.judge(m[0])
-                        if c and f is not None:
-                            inner.append((m.start(), m.end(), c, f))
-                            continue
-                        pieces = [(p.start(), p.end(), *self.judge(p[0])) for p in _PIECE.finditer(m[0]) if not p[0].isascii()]
-                        pieces = [(m.start() + x, m.start() + y, c2, f2) for x, y, c2, f2 in pieces if c2]
-                        inner += pieces if any(p[3] is not None for p in pieces) or not c else [(m.start(), m.end(), c, f)]
-            if any(x[3] is not None for x in inner) or inner and chain is None:
-                found += inner
-            elif chain == "lost":
-                found.append((a, b, chain, None))
-        return found
+        return self.find_all([text])[0]
+
+    def find_all(self, texts: list[str]) -> list[list[tuple[int, int, str, str | None]]]:
+        """(start, end, chain, restored) of the garbled runs of each text. A run that isn't garbled as a whole is judged by
+        words, those with characters that no clean text of the fit has, and those by stretches of one kind of script."""
+        spans = [(i, a, b) for i, t in enumerate(texts) for a, b in runs(t)]
+        whole = self.judge_all([texts[i][a:b] for i, a, b in spans])
+        words = [(k, m.start(), m.end()) for k, (i, a, b) in enumerate(spans) if whole[k][1] is None and self._odd(texts[i][a:b])
+                 for m in _WORD.finditer(texts[i], a, b) if self._odd(m[0])]
+        of_words = self.judge_all([texts[spans[k][0]][a:b] for k, a, b in words])
+        pieces = [(w, a + p.start(), a + p.end()) for w, (k, a, b) in enumerate(words) if of_words[w][1] is None
+                  for p in _PIECE.finditer(texts[spans[k][0]][a:b]) if not p[0].isascii()]
+        of_pieces = self.judge_all([texts[spans[words[w][0]][0]][a:b] for w, a, b in pieces])
+        by_word: dict[int, list] = {}
+        for (w, a, b), (c, f) in zip(pieces, of_pieces):
+            if c:
+                by_word.setdefault(w, []).append((a, b, c, f))
+        by_run: dict[int, list] = {}
+        for w, ((k, a, b), (c, f)) in enumerate(zip(words, of_words)):
+            inner = by_word.get(w, [])
+            if f is not None or c and not any(p[3] is not None for p in inner):
+                inner = [(a, b, c, f)]
+            by_run.setdefault(k, []).extend(inner)
+        out: list[list] = [[] for _ in texts]
+        for k, ((i, a, b), (chain, fixed)) in enumerate(zip(spans, whole)):
+            inner = by_run.get(k, [])
+            if fixed is None and (any(x[3] is not None for x in inner) or inner and chain is None):
+                out[i] += inner
+            elif chain is not None:
+                out[i].append((a, b, chain, fixed))
+        return out
 
     def _odd(self, part: str) -> bool:
         return not self.usual.issuperset(part) or bool(_PAIR.search(part))
@@ -233,10 +264,9 @@ def repair(df: DataFrame, model: Garbles, id_col: str = "doc_id", text: str = "t
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows, seen = [], {}
+            rows, distinct = [], list(dict.fromkeys(pdf["t"]))
+            seen = {t: f for a in range(0, len(distinct), 500) for t, f in zip(distinct[a : a + 500], model.find_all(distinct[a : a + 500]))}
             for i, t in zip(pdf["id"], pdf["t"]):
-                if t not in seen:
-                    seen[t] = model.find(t)
                 if found := seen[t]:
                     out, at = [], 0
                     for a, b, _, fixed in found:
@@ -250,9 +280,44 @@ def repair(df: DataFrame, model: Garbles, id_col: str = "doc_id", text: str = "t
     return rows.mapInPandas(look, f"id {kind}, chain string, restored string, complete boolean").withColumnRenamed("id", id_col)
 
 
-def fit(samples: DataFrame, documents: DataFrame, text: str = "text", lines: int = FIT_LINES) -> Garbles:
-    """Fit on all labelled samples (a small fixed table) and at most `lines` texts of the documents, picked by hash."""
-    labelled = [(r[0], r[1]) for r in samples.select("lang", text).where(F.col(text).isNotNull()).limit(20_000).collect()]
-    picked = documents.where(f"{text} is not null and length({text}) between 20 and 4000").select(text).distinct()
-    picked = picked.orderBy(F.xxhash64(text)).limit(lines)
-    return Garbles(sorted(labelled), [line for r in picked.collect() for line in r[0].split("\n")[:3]])
+def corpus_counts(documents: DataFrame, model: Garbles, text: str = "text") -> tuple[np.ndarray, set[str]]:
+    """(bigram counts per clean class, usual characters) over all lines of all documents in which the model finds nothing, each
+    document in its likeliest class. The result has a bounded size: the buckets of the classes that occur, and the
+    non-ASCII characters that a share of USUAL of the documents hold."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, chars, docs = np.zeros((model.n_groups, BUCKETS), np.int64), Counter(), 0
+        for pdf in batches:
+            texts = pdf["t"].tolist()
+            docs += len(texts)
+            texts = [t for t in texts if not t.isascii()]
+            for a in range(0, len(texts), 500):
+                part = [t for t, found in zip(texts[a : a + 500], model.find_all(texts[a : a + 500])) if not found]
+                for t, k in zip(part, model.scores(part)[0][:, : model.n_groups].argmax(axis=1) if part else ()):
+                    total[k] += np.bincount(features(t), minlength=BUCKETS)
+                    chars.update(set(t))
+        total = total.ravel()
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"kind": ["n"], "k": [0], "n": [docs]})
+        yield pd.DataFrame({"kind": "bigram", "k": at, "n": total[at]})
+        yield pd.DataFrame([("char", ord(c), n) for c, n in chars.items() if ord(c) > 127], columns=["kind", "k", "n"])
+
+    parts = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(count, "kind string, k long, n long")
+    rows = parts.groupBy("kind", "k").agg(F.sum("n").alias("n")).collect()
+    docs = sum(r["n"] for r in rows if r["kind"] == "n")
+    total = np.zeros(model.n_groups * BUCKETS)
+    for r in rows:
+        if r["kind"] == "bigram":
+            total[r["k"]] = r["n"]
+    return total.reshape(model.n_groups, BUCKETS), {chr(r["k"]) for r in rows if r["kind"] == "char" and r["n"] >= USUAL * docs}
+
+
+def fit(samples: DataFrame, documents: DataFrame | None = None, text: str = "text", most: int = FIT_SAMPLES) -> Garbles:
+    """Fit on all labelled samples (lang, text), a small table; more than `most` rows are an error, not a cut. With documents,
+    what all of them hold, those aside in which the first fit finds something, is counted too."""
+    labelled = [(r[0], r[1]) for r in samples.select("lang", text).where(F.col(text).isNotNull()).limit(most + 1).collect()]
+    if len(labelled) > most:
+        raise ValueError(f"more than {most} labelled samples")
+    if documents is None:
+        return Garbles(sorted(labelled))
+    return Garbles(sorted(labelled), *corpus_counts(documents, Garbles(sorted(labelled), sure=FIRST_SURE), text))

@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.operators.ranks import salted_rank
-from quillstream.session import cut
+from quillstream.session import cut, small
 
 #: Edges of forests that one task merges.
 TASK_EDGES = 1_000_000
 FAN_IN = 8
+#: Groups of one size that are ranked in one task.
+RANKED = 200_000
 # Ids that name nothing.
 PLACEHOLDERS = ("", "-", "n/a", "unknown")
 
@@ -157,14 +159,16 @@ def assign(groups: DataFrame, splits: list[tuple[str, float]]) -> DataFrame:
     total = sum(s * n for s, n in counts.items())
     whole = sum(f for _, f in splits) or 1.0
     plan = allot(counts, [total * f / whole for _, f in splits])
-    rows = []
+    # each size's number of groups per split, one after the other: the rank of a group among those of its size names its split
+    rows, names = [], [name for name, _ in splits]
     for size, take in plan.items():
-        at = 0
-        for (name, _), n in zip(splits, take):
-            if n:
-                rows.append((size, at, at + n, name))
-                at += n
-    ranges = spark.createDataFrame(rows, "size long, low long, high long, split string")
-    ranked = salted_rank(sized, ["size"], F.col("group"))
-    placed = ranked.join(ranges, (ranked["size"] == ranges["size"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select("group", "split")
+        ends, at = [], 0
+        for n in take:
+            at += n
+            ends.append(at)
+        rows.append((size, ends))
+    ends = small(spark.createDataFrame(rows, "size long, ends array<long>"), len(rows), 64 + 8 * len(names))
+    ranked = salted_rank(sized, ["size"], F.col("group"), salts=max(64, sum(counts.values()) // RANKED + 1))
+    which = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
+    placed = ranked.join(ends, "size").select("group", F.element_at(F.array(*[F.lit(x) for x in names]), which + 1).alias("split"))
     return groups.join(placed, "group").select("entity", "group", "split")

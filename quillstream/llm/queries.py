@@ -11,10 +11,17 @@ from quillstream.llm.hdlang import Profiles
 from quillstream.session import table
 
 
+def bounded(df: DataFrame, most: int) -> list[tuple]:
+    """All rows of a small table, in order; more than `most` are an error, as they would have to be left out."""
+    rows = sorted(tuple(r) for r in df.limit(most + 1).collect())
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where a small table is expected")
+    return rows
+
+
 def profiles(spark: SparkSession, d: str) -> Profiles:
     """Language profiles of the labelled samples (a small fixed table)."""
-    rows = table(spark, d, "language_samples").where("lang is not null and text is not null").limit(20_000).collect()
-    return Profiles(sorted((r["lang"], r["text"]) for r in rows))
+    return Profiles(bounded(table(spark, d, "language_samples").where("lang is not null and text is not null").select("lang", "text"), 20_000))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +68,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_split(spark: SparkSession, d: str) -> DataFrame:
     """Every meme with its group and split."""
-    splits = [(r["split"], float(r["fraction"])) for r in table(spark, d, "split_fractions").orderBy(F.desc("fraction"), "split").limit(100).collect()]
+    splits = sorted(((name, float(part)) for name, part in bounded(table(spark, d, "split_fractions").select("split", "fraction"), 100)), key=lambda x: (-x[1], x[0]))
     return groups.assign(_ties(spark, d), splits).select(F.col("entity").alias("meme_id"), F.col("group").alias("group_id"), "split")
 
 
@@ -78,7 +85,7 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     """Where each text, or piece of a text larger than the capacity, goes, for each capacity."""
-    capacities = [r["capacity"] for r in table(spark, d, "context_windows").select("capacity").distinct().limit(1000).collect()]
+    capacities = [c for c, in bounded(table(spark, d, "context_windows").select("capacity").distinct(), 1000)]
     items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), enc.token_counts(F.col("text")).alias("size"))
     return pack.pack(items, capacities).withColumnRenamed("id", "doc_id")
 
