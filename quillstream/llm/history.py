@@ -88,7 +88,11 @@ def ranges(records: DataFrame, shards: int) -> np.ndarray:
     return np.unique(keys[(np.arange(1, shards) * len(keys)) // shards])
 
 
-def entries(records: DataFrame, bounds: np.ndarray) -> DataFrame:
+def shards_for(records: DataFrame, n: int) -> int:
+    return max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * PLACES_PER_RECORD // SHARD_PLACES + 1)
+
+
+def entries(records: DataFrame, bounds: np.ndarray, differ: float = DIFFER) -> DataFrame:
     """The suffixes of the records' letters, packed per Arrow batch of records and shard.
 
     Of equal suffixes within an Arrow batch the earliest line's goes to the shard; the others vote for that line at once, so
@@ -122,7 +126,7 @@ def entries(records: DataFrame, bounds: np.ndarray) -> DataFrame:
                     ok = full >= LEAST_MATCH
                     who = np.searchsorted(np.sort(lines), owner[again])
                     s_letters = n_letters[np.argsort(lines, kind="stable")][who]
-                    ok &= np.abs(n_letters[q] - s_letters) <= DIFFER * np.maximum(n_letters[q], s_letters)
+                    ok &= np.abs(n_letters[q] - s_letters) <= differ * np.maximum(n_letters[q], s_letters)
                     if ok.any():
                         votes = (lines[q[ok]], owner[again][ok], np.minimum(full, gap[order[again]])[ok], n_bytes[q[ok]])
                         out += [(int(b), VOTES, 0, *x, None) for b, x in _packed(*votes, len(edges) + 1)]
@@ -158,7 +162,7 @@ def _packed(q: np.ndarray, s: np.ndarray, n: np.ndarray, size: np.ndarray, bucke
             yield k, (_z(np.diff(q[x], prepend=0)), _z(s[x]), _z(n[x].astype(np.int32)), _z(size[x].astype(np.int32)))
 
 
-def _search_shard(stored: list[Segment], new: list, buckets: int) -> Iterator[tuple]:
+def _search_shard(stored: list[Segment], new: list, buckets: int, differ: float) -> Iterator[tuple]:
     """Votes of a shard's new suffixes, each for the earliest line of its longest match, in the stored arrays or its own."""
     if new:
         keys, lines, n_letters, n_bytes, gaps = (np.concatenate([_u(getattr(r, c), t) for r in new]) for c, t in zip("abcde", (f"S{KEEP}", "i8", "i4", "i4", "u1")))
@@ -174,7 +178,7 @@ def _search_shard(stored: list[Segment], new: list, buckets: int) -> Iterator[tu
             n, earliest, theirs = part.matches(keys, KEEP)
             better = (n >= LEAST_MATCH) & ((n > length) | ((n == length) & (earliest < line)))
             length, line, other = np.where(better, n, length), np.where(better, earliest, line), np.where(better, theirs, other)
-        hit = (length >= LEAST_MATCH) & (line >= 0) & (np.abs(n_letters - other) <= DIFFER * np.maximum(n_letters, other))
+        hit = (length >= LEAST_MATCH) & (line >= 0) & (np.abs(n_letters - other) <= differ * np.maximum(n_letters, other))
         yield from _packed(lines[hit], line[hit], np.minimum(length, gaps)[hit].astype(np.int64), n_bytes[hit], buckets) if hit.any() else ()
 
 
@@ -184,7 +188,7 @@ def _own_segment(new: list) -> Segment:
     return Segment(keys, lines, n_letters)
 
 
-def search(packed: DataFrame, buckets: int, stored: DataFrame | None = None, segments: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def search(packed: DataFrame, buckets: int, stored: DataFrame | None = None, segments: bool = False, differ: float = DIFFER) -> tuple[DataFrame, DataFrame | None]:
     """((q, s), array): pairs of a new line and the one it votes for with enough coverage; with `segments`, the new array too."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,7 +207,7 @@ def search(packed: DataFrame, buckets: int, stored: DataFrame | None = None, seg
             for r in rows:
                 if r.kind == STORED:
                     arrays.setdefault(r.level, []).append(Segment(_u(r.a, f"S{KEEP}"), _u(r.b, "i8"), _u(r.c, "i4"), ordered=True))
-            out = [(VOTES, b, 0, *x, None) for b, x in _search_shard([s for group in arrays.values() for s in group], new, buckets)]
+            out = [(VOTES, b, 0, *x, None) for b, x in _search_shard([s for group in arrays.values() for s in group], new, buckets, differ)]
             if segments and new:
                 own = _own_segment(new)
                 out.append((STORED, shard, 0, _z(own.keys), _z(own.lines), _z(own.sizes), None, None))
@@ -261,11 +265,11 @@ def verified(pairs: DataFrame, new: DataFrame, old: DataFrame | None = None, dif
     return left.join(right, "s").where(near("a", "b")).select("q", "s")
 
 
-def exact_pairs(records: DataFrame, old: DataFrame | None = None) -> DataFrame:
+def exact_pairs(records: DataFrame, old: DataFrame | None = None, differ: float = DIFFER) -> DataFrame:
     """(q, s): all pairs of a new record and an earlier or old one that differ by at most the share, by comparing every two
     records of like length in blocks. The exact way, of quadratic cost, for small tables and for measuring recall."""
     n = F.length("letters")
-    step = 1 / (1 - DIFFER)
+    step = 1 / (1 - differ)
     block = F.floor(F.log(n) / F.log(F.lit(step))).cast("int")
     q = records.select(F.col("line").alias("q"), F.col("letters").alias("a"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
     s = records.select(F.col("line").alias("s"), F.col("letters").alias("b"), block.alias("block"), F.lit(False).alias("old"))
@@ -274,7 +278,7 @@ def exact_pairs(records: DataFrame, old: DataFrame | None = None) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within(x, y) for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([within(x, y, differ) for x, y in zip(a, b)], dtype=bool)
 
     return q.join(s, "block").where("old or s < q").where(near("a", "b")).select("q", "s")
 
@@ -399,7 +403,7 @@ def admit(
         bounds = old.bounds()
         if bounds is None:
             n = records.count()
-            bounds = ranges(records, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * PLACES_PER_RECORD // SHARD_PLACES + 1))
+            bounds = ranges(records, shards_for(records, n))
         pairs, array = search(entries(records, bounds), len(bounds) + 1, old.arrays(), save)
         if classes is not None:  # what history rejected stands for the line it repeats
             pairs = pairs.join(classes.select(F.col("line").alias("s"), F.col("of").alias("known")), "s", "left").select("q", F.coalesce("known", "s").alias("s")).distinct()

@@ -206,6 +206,7 @@ def test_overlaps_match_brute_force(spark):
     got = {tuple(r) for r in overlap.overlap_pairs(df, "id", "split", "source", ["brief", "target"]).collect()}
     assert got <= want
     assert len(got) >= 0.99 * len(want) > 20, len(got) / len(want)
+    assert {tuple(r) for r in overlap.overlap_pairs(df, "id", "split", "source", ["brief", "target"], exact=True).collect()} == want
     report = overlap.overlap_report(df, "id", "split", "source", ["brief", "target"]).collect()
     assert {r["split"] for r in report} <= {"dev", "test"} and all(r["evaluation_rows"] <= r["pairs"] for r in report)
     assert overlap.overlap_pairs(df.where("false"), "id", "split", "source", ["brief"]).count() == 0
