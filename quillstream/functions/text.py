@@ -7,7 +7,7 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Token, tag and contact patterns, and notices of production and upload.
@@ -43,6 +43,16 @@ def nfkc(c: Column) -> Column:
     return form(c)
 
 
+def nfc(c: Column) -> Column:
+    """Canonical composition; null stays null."""
+
+    @F.pandas_udf("string")
+    def form(values: pd.Series) -> pd.Series:
+        return _distinct(values, lambda v: v if v.isascii() else unicodedata.normalize("NFC", v))
+
+    return form(c)
+
+
 def nfc_casefold(c: Column) -> Column:
     """Canonical composition, white space collapsed and trimmed, full case folding; null stays null."""
 
@@ -130,11 +140,28 @@ def contains_words(text: Column, phrase: Column) -> Column:
     return F.instr(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" "))) > 0
 
 
+# Where a title's head ends, notes in brackets, and tags.
+TITLE_BAR, TITLE_NOTE, TITLE_TAG = r"(?U)\s+[|｜]\s+", r"\[[^\]]{1,80}\]|【[^】]{1,80}】", r"(?U)(?<!\w)#\S+"
+
+
 def core_title(c: Column) -> Column:
-    """A composed title up to its first bar, without brackets and tags, white space collapsed."""
-    head = F.element_at(F.split(c, r"\s[|｜]\s?|[|｜]", 2), 1)
-    bare = F.regexp_replace(F.regexp_replace(head, r"\[[^\]]*\]|【[^】]*】", " "), r"#\S+", " ")
-    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+    """A title's head, before the first bar between blanks, without short notes in brackets and tags, composed (NFC), white
+    space collapsed."""
+    head = F.element_at(F.split(nfc(c), TITLE_BAR, 2), 1)
+    bare = F.regexp_replace(F.regexp_replace(head, TITLE_NOTE, " "), TITLE_TAG, " ")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), "^ | $", "")
+
+
+def containing(texts: DataFrame, phrases: DataFrame, text: str, phrase: str) -> DataFrame:
+    """texts joined with the phrases they hold as whole words, both token strings, any number of either.
+
+    A phrase is met by its first word or, where it has two, by its first two: an equi-join, then the whole phrase is compared.
+    """
+    head = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 2), " ")
+    words = F.split(F.col(text), " ")
+    starts = F.array_distinct(F.concat(words, F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))))
+    keyed = texts.where(F.col(text) != "").withColumn("__head", F.explode(starts))
+    return keyed.join(phrases.where(F.col(phrase) != "").withColumn("__head", head(F.col(phrase))), "__head").where(contains_words(F.col(text), F.col(phrase))).drop("__head")
 
 
 def hash_id(prefix: str, *parts: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Largest side, in bytes, that an operator broadcasts after it has counted its rows.
 BROADCAST_BYTES = 24 << 20
+_KEPT: list[str] = []
 
 
 def local_session(cpus: str | int = "*", shuffle: int = 8, app: str = "quillstream") -> SparkSession:
@@ -32,10 +34,13 @@ def local_session(cpus: str | int = "*", shuffle: int = 8, app: str = "quillstre
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on
+    a cluster it is an error, as executors share no local folder."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("quillstream.shared.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="quillstream-")
             spark.conf.set("quillstream.shared.dir", folder)
@@ -79,8 +84,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder, computed once. Unlike cut(), which computes twice but is cleaned up by
-    Spark, the table stays until the folder is cleared; for intermediate tables that several branches read."""
+    """df as a table written to the shared folder, computed once; for intermediate tables that several branches read. Unlike
+    what cut() leaves, which Spark cleans up, the table stays until release() or the end of the session's process."""
     path = fresh_path(df.sparkSession, "kept")
+    _KEPT.append(path)
+    if len(_KEPT) == 1:
+        atexit.register(release, df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that keep() has written so far; results that read them must have been used before."""
+    if spark.sparkContext._jsc is None:
+        return
+    while _KEPT:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

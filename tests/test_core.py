@@ -290,7 +290,7 @@ def test_title_variations_match_all_pairs(spark):
     want = {}
     for i, v, _ in rows:
         for j, w, _ in rows:
-            if i < j and v != w and (f := R.variation(normal[i], normal[j])):
+            if i < j and v != w and (f := R.shared_clause(normal[i], normal[j])):
                 want[i, j] = (f[0], len(f[1]))
     got = R.title_variations(df).collect()
     assert len(got) == len(want) and {(r["left"], r["right"]): (r["frame"], r["changes"]) for r in got} == want
