@@ -75,7 +75,7 @@ def normalized(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines of a text, breaks as Python's splitlines sees them; an ending break makes no empty line."""
-    return F.split(F.regexp_replace(c, f"(?:{LINE_BREAK})$", ""), LINE_BREAK)
+    return F.split(F.regexp_replace(c, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK)
 
 
 def hashtags(c: Column) -> Column:
@@ -141,7 +141,7 @@ def contains_words(text: Column, phrase: Column) -> Column:
 
 
 # Where a title's head ends, notes in brackets, and tags.
-TITLE_BAR, TITLE_NOTE, TITLE_TAG = r"(?U)\s+[|｜]\s+", r"\[[^\]]{1,80}\]|【[^】]{1,80}】", r"(?U)(?<!\w)#\S+"
+TITLE_BAR, TITLE_NOTE, TITLE_TAG = r"(?U)\s+[|｜]\s+", r"\[[^\]]{0,80}\]|【[^】]{0,80}】", r"(?U)(?<!\w)#\S+"
 
 
 def core_title(c: Column) -> Column:
@@ -216,3 +216,77 @@ def html_escape(c: Column) -> Column:
     return out
 
 
+def dense(c: Column) -> Column:
+    """A text without white space and case (full folding); null stays null."""
+
+    @F.pandas_udf("string")
+    def form(values: pd.Series) -> pd.Series:
+        return _distinct(values, lambda v: "".join(v.split()).casefold())
+
+    return form(c)
+
+
+# Quotes that are no part of what is said, wording of parody and of its denial, and credentials.
+OUTER = " \t\n\r\"'“”‘’"
+PARODY, NO_PARODY = r"(?i)패러디|parody", r"(?i)패러디(?:가|는|를)?\s*(?:아니|아닙|아님)|not\s+(?:a\s+)?parody"
+SECRET = (
+    r"(?i)\bBearer\s+\S+|\bBasic\s+[A-Za-z0-9+/=]+|\bsk-[A-Za-z0-9_-]{12,}|\bAIza[A-Za-z0-9_-]{20,}|-----BEGIN .*PRIVATE KEY-----|"
+    r"https?://[^/\s]+:[^/\s]+@|[?&](?:key|api_key|token|access_token|secret)="
+)
+
+
+def copy_form(c: Column) -> Column:
+    """What a copy detector compares: composed for compatibility, case folded, outer quotes off, white space collapsed."""
+
+    @F.pandas_udf("string")
+    def form(values: pd.Series) -> pd.Series:
+        return _distinct(values, lambda v: " ".join(unicodedata.normalize("NFKC", v).casefold().strip(OUTER).split()))
+
+    return form(c)
+
+
+def says_parody(c: Column) -> Column:
+    """Whether a line of the text calls it a parody without denying it."""
+    return F.exists(lines(c), lambda x: x.rlike(PARODY) & ~x.rlike(NO_PARODY))
+
+
+def cue_hits(c: Column, cues: str) -> Column:
+    """array(struct(line, cue)): wording that points to reuse, with the number of its line."""
+    per_line = F.transform(lines(c), lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(cues), F.lit(0)), lambda cue: F.struct((i + 1).alias("line"), cue.alias("cue"))))
+    return F.flatten(per_line)
+
+
+def holds_secret(c: Column) -> Column:
+    return F.coalesce(c.rlike(SECRET), F.lit(False))
+
+
+def redacted(c: Column, credential: str, mark: str = "[CREDENTIAL_REDACTED]") -> Column:
+    """A text with a credential replaced wherever it stands; an empty credential changes nothing."""
+    return F.replace(c, F.lit(credential), F.lit(mark)) if credential else c
+
+
+def mechanical(raw: Column, required: list[str], citations: str, allowed: Column) -> Column:
+    """What a machine can say of an answer: not_object, missing_fields, foreign_citations or ok, the first that applies.
+
+    raw: JSON text; citations: the key of its list of cited ids; allowed: array of the ids it may cite.
+    """
+    keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
+    cited = F.coalesce(F.from_json(F.get_json_object(raw, f"$.{citations}"), "array<string>"), F.array().cast("array<string>"))
+    is_object = F.coalesce(F.try_parse_json(raw).isNotNull() & F.trim(raw).startswith("{"), F.lit(False))
+    return (
+        F.when(~is_object, "not_object").when(F.size(F.array_except(F.array(*[F.lit(k) for k in required]), keys)) > 0, "missing_fields")
+        .when(F.size(F.array_except(cited, allowed)) > 0, "foreign_citations").otherwise("ok")
+    )
+
+
+def repeated_frame(title: Column, query: Column) -> Column:
+    """struct(token, middle, frame) of a title in which a word said twice surrounds other words, else null.
+
+    query: the same word twice, of three letters at least; the middle has ten words at most.
+    """
+    words = F.regexp_extract_all(query, F.lit("[가-힣A-Za-z]+"), F.lit(0))
+    token = F.get(words, F.lit(0))
+    ok = (F.size(words) == 2) & (token == F.get(words, F.lit(1))) & (F.length(token) >= 3)
+    found = F.regexp_extract(core_title(title), F.concat(F.lit("(?U)"), token, F.lit(r"[\s,]+"), token, F.lit(r"[\s,]+(.{1,60}?)\s+"), token, F.lit(r"(?=\W|_|$)")), 1)
+    middle = F.regexp_replace(found, r"^[ ,.!?_]+|[ ,.!?_]+$", "")
+    return F.when(ok & (middle != "") & (F.size(F.split(middle, r"(?U)\s+")) <= 10), F.struct(token.alias("token"), middle.alias("middle"), F.concat(token, F.lit(" "), token, F.lit(" {} "), token).alias("frame")))

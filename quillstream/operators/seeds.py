@@ -35,6 +35,17 @@ def unique_videos(rows: DataFrame, order: str) -> DataFrame:
     return rows.where("video_id is not null and video_id <> ''").groupBy("video_id").agg(F.max_by(columns, best).alias("row"), F.count(F.lit(1)).alias("snapshots")).select("row.*", "snapshots")
 
 
+def quoted_spans(title):
+    """Quoted stretches of two words or more that are no boilerplate."""
+    spans = F.transform(F.regexp_extract_all(title, F.lit(QUOTED), F.lit(1)), lambda q: F.trim(q))
+    return F.filter(spans, lambda q: (F.size(F.split(q, r"\s+")) >= 2) & ~q.rlike(BOILERPLATE))
+
+
+def literal_span(title, description, query):
+    """Whether a title or description literally holds a span, composition, case and white space aside."""
+    return T.nfc_casefold(F.concat_ws("\n", title, description)).contains(T.nfc_casefold(query))
+
+
 def comparison_frame(core):
     """struct(prefix, left, right, frame_key) of a title of the form '<modifier> A is not to be told from B', else null."""
     subject, target = F.trim(F.regexp_extract(core, COMPARISON, 1)), F.trim(F.regexp_extract(core, COMPARISON, 2))
@@ -71,7 +82,7 @@ def plan_seeds(videos: DataFrame, max_seeds: int | None) -> DataFrame:
     one = lambda span, kind: F.struct(span.alias("span"), F.lit(kind).alias("kind"))
     none = F.array().cast("array<struct<span:string,kind:string>>")
     core = F.col("core")
-    quotes = F.filter(F.regexp_extract_all("title", F.lit(QUOTED), F.lit(1)), lambda q: (F.size(F.split(F.trim(q), r"\s+")) >= 2) & ~F.trim(q).rlike(BOILERPLATE))
+    quotes = quoted_spans(F.col("title"))
     commas = F.length(core) - F.length(F.replace(core, F.lit(","), F.lit("")))
     enumerated = (commas >= 2) & F.length(core).between(8, 65) & core.rlike("(?:하다|이다|야|해|다)[.!?…☆]*$")
     labelled = core.rlike(REUSE_CUE) & F.length(core).between(3, 55) & ~core.rlike(BOILERPLATE)
@@ -80,14 +91,14 @@ def plan_seeds(videos: DataFrame, max_seeds: int | None) -> DataFrame:
         F.explode(F.concat(
             F.when(comparison_frame(core).isNotNull(), F.array(one(comparison_frame(core)["prefix"], "sentence_comparison"))).otherwise(none),
             words_of(core),
-            F.transform(quotes, lambda q: one(F.trim(q), "quoted_expression")),
+            F.transform(quotes, lambda q: one(q, "quoted_expression")),
             F.when(enumerated, F.array(one(F.regexp_replace(core, "[.☆ ]+$", ""), "rhetorical_catchphrase"))).otherwise(none),
             F.when(labelled, F.array(one(core, "source_labelled_reuse"))).otherwise(none),
         )),
     ).select("video_id", "channel_id", "title", "description", F.col("proposal.span").alias("query"), F.col("proposal.kind").alias("kind"))
-    key = F.lower(F.trim(F.regexp_replace("query", r"(?U)\s+", " ")))
+    key = T.nfc_casefold(F.col("query"))
     score = F.create_map(*[F.lit(x) for kv in SCORES.items() for x in kv])[F.col("kind")] + F.when((F.col("kind") == "quoted_expression") & F.col("title").rlike(REUSE_CUE), 1).otherwise(0)
-    literal = F.lower(F.concat_ws("\n", "title", "description")).contains(F.lower("query"))
+    literal = literal_span(F.col("title"), F.col("description"), F.col("query"))
     seeds = proposals.where(literal).withColumn("key", key).where("key <> ''").where(~F.col("key").rlike(GENERIC_REFERENCE)).withColumn("score", score)
     seeds = seeds.withColumn("seed_id", T.hash_id("qsd_", F.col("key"), F.col("kind")))
     merged = seeds.groupBy("key").agg(

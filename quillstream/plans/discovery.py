@@ -44,26 +44,6 @@ def fn_date_info(spark: SparkSession, d: str) -> DataFrame:
     return _observations(spark, d).select(info["precision"].alias("precision")).groupBy("precision").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fn_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("line_number"), F.length("line").alias("letters"))
-
-
-def fn_hashtags(spark: SparkSession, d: str) -> DataFrame:
-    tags = _observations(spark, d).where("text is not null").select("input_line", F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|\s)#([가-힣A-Za-z0-9_]+)"), F.lit(1))).alias("tag"))
-    return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("input_line").alias("rows"))
-
-
-def fn_contacts(spark: SparkSession, d: str) -> DataFrame:
-    urls = F.regexp_extract_all("text", F.lit(r"https?://[^\s]+"), F.lit(0))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(urls).alias("url")).groupBy("url").agg(F.count_distinct("doc_id").alias("docs"))
-
-
-def fn_norm_nfc(spark: SparkSession, d: str) -> DataFrame:
-    titles = table(spark, d, "video_cards").where("title is not null").select(T.nfc_casefold(F.col("title")).alias("title"))
-    return titles.groupBy("title").agg(F.count(F.lit(1)).alias("n"))
-
-
 def fn_char_grams(spark: SparkSession, d: str) -> DataFrame:
     grams = table(spark, d, "creation_examples").where("target is not null").select(F.explode(T.char_ngrams(F.col("target"), 3)).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -118,11 +98,6 @@ def win_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return cards.join(first, "video_id").select("card_id", F.when(F.col("card_id") == F.col("first"), "first").otherwise("duplicate_video_card").alias("state"))
 
 
-def fn_core_title(spark: SparkSession, d: str) -> DataFrame:
-    core = T.core_title(F.col("title"))
-    return table(spark, d, "video_cards").where("title is not null and title <> ''").select("card_id", F.length(core).alias("letters"))
-
-
 def op_plan_seeds(spark: SparkSession, d: str) -> DataFrame:
     videos = keep(S.unique_videos(table(spark, d, "video_cards"), "card_id"))
     return S.plan_seeds(videos, 50).withColumn("video_ids", F.size("video_ids")).withColumn("channel_ids", F.size("channel_ids"))
@@ -205,12 +180,6 @@ SQL = {
     "flt_ts_guard": f"SELECT input_line, CAST(epoch_us({_ts('posted_at')}) AS VARCHAR) AS posted_us, CAST(epoch_us({_ts('updated_at')}) AS VARCHAR) AS updated_us FROM observations",
     "fn_date_info": f"""SELECT CASE WHEN posted_at IS NULL OR trim(posted_at) = '' THEN 'missing' WHEN regexp_full_match(posted_at, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'date'
       WHEN {_ts('posted_at')} IS NOT NULL THEN 'instant' ELSE 'invalid' END AS precision, count(*) AS n FROM observations GROUP BY 1""",
-    "fn_lines": """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
-      SELECT doc_id, i AS line_number, length(l[i]) AS letters FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM s)""",
-    "fn_hashtags": """WITH t AS (SELECT input_line, unnest(regexp_extract_all(text, '(?:^|\\s)#([가-힣A-Za-z0-9_]+)', 1)) AS tag FROM observations WHERE text IS NOT NULL)
-      SELECT tag, count(*) AS uses, count(DISTINCT input_line) AS rows FROM t GROUP BY tag""",
-    "fn_contacts": """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s]+')) AS url FROM documents WHERE text IS NOT NULL)
-      SELECT url, count(DISTINCT doc_id) AS docs FROM t GROUP BY url""",
     "fn_char_grams": """WITH t AS (SELECT lower(regexp_replace(target, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g')) AS s FROM creation_examples WHERE target IS NOT NULL),
       g AS (SELECT substr(s, CAST(i AS BIGINT), 3) AS gram FROM (SELECT s, unnest(range(1, length(s) - 1)) AS i FROM t WHERE length(s) >= 3))
       SELECT gram, count(*) AS n FROM g GROUP BY gram""",
@@ -242,8 +211,8 @@ SQL = {
 
 def queries():
     return {f.__name__: f for f in (
-        flt_admit, agg_reason_hist, flt_ts_guard, fn_date_info, fn_lines, fn_hashtags, fn_contacts, fn_norm_nfc, fn_char_grams, fn_bigram_jaccard, fn_hash_id,
-        agg_repeat_lines, agg_phrase_support, op_metadata_index, op_detect_d0, op_detect_d1, win_unique_video, win_first_seen, fn_core_title, op_plan_seeds, op_followups,
+        flt_admit, agg_reason_hist, flt_ts_guard, fn_date_info, fn_char_grams, fn_bigram_jaccard, fn_hash_id,
+        agg_repeat_lines, agg_phrase_support, op_metadata_index, op_detect_d0, op_detect_d1, win_unique_video, win_first_seen, op_plan_seeds, op_followups,
         op_families, agg_day_hist, agg_channel_frac, agg_growth, topk_search_rank,
     )}
 

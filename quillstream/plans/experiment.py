@@ -69,11 +69,6 @@ def op_retrieve(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
-def op_sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", F.size(F.split("text", r"(?<=다\.)\s+")).alias("parts"))
-
-
 def win_adjacent(spark: SparkSession, d: str) -> DataFrame:
     """Words said twice in a row within titles."""
     cards = table(spark, d, "video_cards").where("title is not null").select("card_id", T.tokens(F.col("title")).alias("w")).where("size(w) > 1")
@@ -107,12 +102,6 @@ def gr_retry_chain(spark: SparkSession, d: str) -> DataFrame:
     return r.select("request_id", "response_id", F.coalesce(F.lag("response_id").over(w), F.lit("")).alias("retry_of"), F.row_number().over(w).alias("attempt"))
 
 
-def fn_canonical_json(spark: SparkSession, d: str) -> DataFrame:
-    """Events' properties in canonical form, counted."""
-    e = table(spark, d, "events").select(T.canonical_json(F.col("props")).alias("props"))
-    return e.groupBy("props").agg(F.count(F.lit(1)).alias("n"))
-
-
 def src_type_profile(spark: SparkSession, d: str) -> DataFrame:
     """Observed type of every property of the events."""
     e = table(spark, d, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
@@ -149,8 +138,8 @@ SQL = {
 
 def queries():
     return {f.__name__: f for f in (
-        join_grid, ex_import, agg_exp_summary, join_pivot_pair, agg_ratings, agg_bootstrap, agg_pairs_coverage, op_retrieve, op_sentence_split, win_adjacent, agg_cost, rg_query,
-        gr_retry_chain, fn_canonical_json, src_type_profile,
+        join_grid, ex_import, agg_exp_summary, join_pivot_pair, agg_ratings, agg_bootstrap, agg_pairs_coverage, op_retrieve, win_adjacent, agg_cost, rg_query,
+        gr_retry_chain, src_type_profile,
     )}
 
 
