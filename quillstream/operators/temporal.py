@@ -30,14 +30,17 @@ def visible(items: Column, at: str) -> Column:
     return F.filter(items, lambda x: (instant(x["available_at"]) <= when) & (x["published_at"].isNull() | (instant(x["published_at"]) <= when)))
 
 
-def partition_groups(nodes: DataFrame, edges: DataFrame, fractions: list[tuple[str, float]], seed: str) -> DataFrame:
-    """(node, group, split, conflict): one split per component: what its members ask for, else by a seeded hash.
+def partition_groups(nodes: DataFrame, edges: DataFrame, fractions: list[tuple[str, float]], seed: str, prior: DataFrame | None = None) -> DataFrame:
+    """(node, group, split, conflict): one split per component: what its members ask for or had before, else by a seeded hash.
 
-    nodes: (node, wanted), wanted null where a member asks for nothing. A component whose members ask for several splits
-    is a conflict and gets no split.
+    nodes: (node, wanted), wanted null where a member asks for nothing. prior: (node, split), earlier assignments, which must
+    not move. A component whose members ask for or had several splits is a conflict and gets no split.
     """
     labels = connected(edges)
-    grouped = nodes.join(labels, "node", "left").select("node", "wanted", F.coalesce("root", "node").alias("group"))
+    asked = nodes.select("node", "wanted")
+    if prior is not None:
+        asked = asked.unionByName(prior.select("node", F.col("split").alias("wanted")))
+    grouped = asked.join(labels, "node", "left").select("node", "wanted", F.coalesce("root", "node").alias("group"))
     wishes = grouped.groupBy("group").agg(F.min("wanted").alias("low"), F.max("wanted").alias("high"))
     point, low, by_hash = T.split_point(seed, F.col("group")), 0.0, None
     total = sum(f for _, f in fractions)
@@ -46,7 +49,7 @@ def partition_groups(nodes: DataFrame, edges: DataFrame, fractions: list[tuple[s
         by_hash = F.when(point < low, name) if by_hash is None else by_hash.when(point < low, name)
     by_hash = by_hash.otherwise(fractions[-1][0])
     decided = wishes.select("group", (F.col("low") != F.col("high")).alias("conflict"), F.when(F.col("low").isNull(), by_hash).when(F.col("low") == F.col("high"), F.col("low")).alias("split"))
-    return grouped.select("node", "group").join(decided, "group").select("node", "group", "split", F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    return grouped.select("node", "group").distinct().join(decided, "group").select("node", "group", "split", F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 
 def exposure_conflicts(current: DataFrame, prior: DataFrame) -> DataFrame:

@@ -34,12 +34,6 @@ def join_asof_latest(spark: SparkSession, d: str) -> DataFrame:
     return P.latest_as_of(_records(spark, d), clean_id(F.col("meme_id")), AT, F.col("record_id")).select("meme_id", "version", "record_id")
 
 
-def tm_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """Each meme's record as of a time, with the assets visible by then."""
-    rows = P.latest_as_of(_records(spark, d), clean_id(F.col("meme_id")), AT, F.col("record_id"))
-    return rows.select("meme_id", "version", F.coalesce(F.size(P.visible(F.col("assets"), AT)), F.lit(0)).alias("assets"))
-
-
 def src_assets(spark: SparkSession, d: str) -> DataFrame:
     a = _records(spark, d).select("record_id", F.explode("assets").alias("a"))
     return a.groupBy("a.modality", "a.status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a.asset_id").alias("assets"))
@@ -52,30 +46,11 @@ def _ties(spark: SparkSession, d: str) -> DataFrame:
     return by_family.unionByName(groups.select(F.concat(F.lit("0"), "m").alias("a"), F.concat(F.lit("2"), "g").alias("b"))).distinct()
 
 
-def gr_cc_split(spark: SparkSession, d: str) -> DataFrame:
-    """Components of memes by family and source group, each by its least meme."""
-    found = C.connected(_ties(spark, d)).where("node like '0%'")
-    return found.select(F.substring("node", 2, 1 << 20).alias("meme_id"), F.substring("root", 2, 1 << 20).alias("group_id"))
-
-
-def gr_partition(spark: SparkSession, d: str) -> DataFrame:
-    """Split per component; components whose members ask for different splits are conflicts."""
-    nodes = _records(spark, d).select(F.concat(F.lit("0"), named(F.col("meme_id"))).alias("node"), split_of(F.col("split")).alias("wanted")).where("node is not null").distinct()
-    out = P.partition_groups(nodes, _ties(spark, d), [("train", 0.72), ("dev", 0.13), ("test", 0.15)], "seed-1")
-    return out.select("group", "split", "conflict").distinct().groupBy("split", "conflict").agg(F.count(F.lit(1)).alias("groups"))
-
-
 def _parents(spark: SparkSession, d: str) -> DataFrame:
     a = _records(spark, d).select(F.explode("assets").alias("a")).select(clean_id(F.col("a.asset_id")).alias("child"), F.explode("a.parent_asset_ids").alias("p"))
     return a.select(clean_id(F.col("p")).alias("parent"), "child").where("parent is not null and child is not null").distinct()
 
 
-def gr_taint(spark: SparkSession, d: str) -> DataFrame:
-    """Assets of dev and test records, and everything derived from them."""
-    held = _records(spark, d).where(split_of(F.col("split")).isin("dev", "test")).select(F.explode("assets").alias("a")).select(clean_id(F.col("a.asset_id")).alias("node"))
-    return C.reachable(_parents(spark, d), held).select(F.col("node").alias("asset_id"))
-
-
 def gr_parent_closure(spark: SparkSession, d: str) -> DataFrame:
     """Assets with status ok all of whose ancestors are known and ok."""
     ok = _records(spark, d).select(F.explode("assets").alias("a")).where("a.status = 'ok'").select(clean_id(F.col("a.asset_id")).alias("node"))
@@ -91,35 +66,11 @@ def fn_split_point(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).where("meme_id is not null").select("meme_id").distinct().select("meme_id", F.round(T.split_point("seed-1", F.col("meme_id")), 12).alias("point"))
 
 
-def flt_validate_records(spark: SparkSession, d: str) -> DataFrame:
-    """Rules of records, by how many break them."""
-    r = _records(spark, d)
-    ids = F.transform("assets", lambda a: a["asset_id"])
-    rules = {
-        "available_at": instant("available_at").isNull(), "published_at": F.col("published_at").isNotNull() & instant("published_at").isNull(),
-        "published_after_available": instant("published_at") > instant("available_at"), "family_id": F.col("family_id").isNull(), "title": F.coalesce(F.trim("title"), F.lit("")) == "",
-        "repeated_asset": F.size(F.array_distinct(ids)) < F.size(ids), "asset_time": F.exists("assets", lambda a: instant(a["available_at"]).isNull()),
-        "asset_before_record": F.exists("assets", lambda a: instant(a["available_at"]) > instant(F.col("available_at"))),
-        "version": ~F.coalesce(F.col("version").rlike("^[0-9]+$"), F.lit(False)),
-    }
-    return P.rule_breaks(r, "record_id", rules).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
-
-
 def sx_unique_key(spark: SparkSession, d: str) -> DataFrame:
     """(meme, version) keys that several rows hold."""
     return _records(spark, d).groupBy("meme_id", "version").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def flt_validate_dataset(spark: SparkSession, d: str) -> DataFrame:
-    """Families and source groups whose examples lie in several splits."""
-    e = table(spark, d, "creation_examples").select("family_id", "source_group_id", split_of(F.col("split")).alias("s")).where("s is not null")
-    out = None
-    for kind in ("family_id", "source_group_id"):
-        one = e.where(f"{kind} is not null").groupBy(F.col(kind).alias("key")).agg(F.count_distinct("s").alias("splits")).where("splits > 1").select(F.lit(kind).alias("kind"), "key", "splits")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def tm_exposure(spark: SparkSession, d: str) -> DataFrame:
     """Dev and test examples already exposed by earlier train examples, by identity or by content."""
     dense = lambda c: F.sha2(F.lower(F.regexp_replace(c, r"[ \n\t]+", "")), 256)
@@ -162,30 +113,13 @@ _EDGES = f"""e AS (SELECT DISTINCT {_ID.format('c')} AS child, {_ID.format('p')}
 
 SQL = {
     "join_asof_latest": _LATEST + "SELECT meme_id, version, record_id FROM l WHERE n = 1",
-    "tm_snapshot": _LATEST + f""", a AS (SELECT record_id, count(*) AS n_assets FROM (SELECT record_id, unnest(assets) AS a FROM l WHERE n = 1) WHERE {_ts('a.available_at')} <= TIMESTAMPTZ '{AT}'
-      AND (a.published_at IS NULL OR {_ts('a.published_at')} <= TIMESTAMPTZ '{AT}') GROUP BY record_id)
-      SELECT meme_id, version, coalesce(n_assets, 0)::INT AS assets FROM l LEFT JOIN a USING (record_id) WHERE n = 1""",
     "src_assets": "SELECT a.modality AS modality, a.status AS status, count(*) AS n, count(DISTINCT a.asset_id) AS assets FROM (SELECT unnest(assets) AS a FROM meme_records) GROUP BY 1, 2",
-    "gr_cc_split": f"""WITH RECURSIVE {_TIES}, p AS (SELECT DISTINCT x.m AS a, y.m AS b FROM t x JOIN t y ON x.g = y.g),
-      c AS (SELECT DISTINCT m AS a, m AS b FROM t UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a)
-      SELECT a AS meme_id, min(b) AS group_id FROM c GROUP BY a""",
-    "gr_taint": f"""WITH RECURSIVE {_EDGES}, s AS (SELECT DISTINCT {_ID.format('i')} AS node FROM (SELECT unnest(assets).asset_id AS i FROM meme_records WHERE {_SPLIT.format('split')} IN ('dev', 'test')) WHERE i IS NOT NULL),
-      x AS (SELECT node FROM s UNION SELECT e.child FROM x JOIN e ON e.parent = x.node) SELECT node AS asset_id FROM x""",
     "gr_parent_closure": f"""WITH RECURSIVE {_EDGES}, o AS (SELECT DISTINCT {_ID.format('a.asset_id')} AS node FROM (SELECT unnest(assets) AS a FROM meme_records) WHERE a.status = 'ok' AND a.asset_id IS NOT NULL),
       lost AS (SELECT child AS node FROM e WHERE parent NOT IN (SELECT node FROM o) UNION SELECT e.child FROM lost JOIN e ON e.parent = lost.node)
       SELECT node AS asset_id FROM o WHERE node NOT IN (SELECT node FROM lost)""",
     "agg_provenance": "SELECT meme_id, CASE WHEN min(provenance) IS NULL THEN 'not_applicable' WHEN min(provenance) <> max(provenance) THEN 'mixed' ELSE min(provenance) END AS provenance FROM meme_records GROUP BY meme_id",
     "fn_split_point": "SELECT meme_id, round(('0x' || substr(sha256('seed-1|' || meme_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE, 12) AS point FROM (SELECT DISTINCT meme_id FROM meme_records WHERE meme_id IS NOT NULL)",
-    "flt_validate_records": f"""WITH r AS (SELECT *, {_ts('available_at')} AS k, {_ts('published_at')} AS p FROM meme_records), a AS (SELECT record_id, k, unnest(assets) AS a FROM r), b AS (SELECT record_id,
-        count(DISTINCT a.asset_id) < count(a.asset_id) AS rep, bool_or({_ts('a.available_at')} IS NULL) AS bad, bool_or({_ts('a.available_at')} > k) AS late FROM a GROUP BY record_id),
-      x AS (SELECT 'available_at' AS rule FROM r WHERE k IS NULL UNION ALL SELECT 'published_at' FROM r WHERE published_at IS NOT NULL AND p IS NULL UNION ALL SELECT 'published_after_available' FROM r WHERE p > k
-        UNION ALL SELECT 'family_id' FROM r WHERE family_id IS NULL UNION ALL SELECT 'title' FROM r WHERE coalesce(trim(title), '') = '' UNION ALL SELECT 'version' FROM r WHERE NOT coalesce(regexp_full_match(version, '[0-9]+'), false)
-        UNION ALL SELECT 'repeated_asset' FROM b WHERE rep UNION ALL SELECT 'asset_time' FROM b WHERE bad UNION ALL SELECT 'asset_before_record' FROM b WHERE late)
-      SELECT rule, count(*) AS rows FROM x GROUP BY rule""",
     "sx_unique_key": "SELECT meme_id, version, count(*) AS n FROM meme_records GROUP BY meme_id, version HAVING count(*) > 1",
-    "flt_validate_dataset": f"""WITH e AS (SELECT *, {_SPLIT.format('split')} AS s FROM creation_examples)
-      SELECT 'family_id' AS kind, family_id AS key, count(DISTINCT s) AS splits FROM e WHERE s IS NOT NULL AND family_id IS NOT NULL GROUP BY family_id HAVING count(DISTINCT s) > 1
-      UNION ALL SELECT 'source_group_id', source_group_id, count(DISTINCT s) FROM e WHERE s IS NOT NULL AND source_group_id IS NOT NULL GROUP BY source_group_id HAVING count(DISTINCT s) > 1""",
     "tm_exposure": f"""WITH e AS (SELECT example_id, meme_id, {_SPLIT.format('split')} AS s, sha256(lower(regexp_replace(brief, '[ \\n\\t]+', '', 'g'))) AS b, sha256(lower(regexp_replace(target, '[ \\n\\t]+', '', 'g'))) AS t FROM creation_examples),
       tr AS (SELECT * FROM e WHERE s = 'train'), ev AS (SELECT * FROM e WHERE s IN ('dev', 'test'))
       SELECT example_id, CASE WHEN EXISTS (SELECT 1 FROM tr WHERE tr.meme_id = ev.meme_id AND tr.example_id = ev.example_id) THEN 'same_example_identity' ELSE 'same_content' END AS reason FROM ev
@@ -199,8 +133,8 @@ SQL = {
 
 def queries():
     return {f.__name__: f for f in (
-        join_asof_latest, tm_snapshot, src_assets, gr_cc_split, gr_partition, gr_taint, gr_parent_closure, agg_provenance, fn_split_point, flt_validate_records, sx_unique_key,
-        flt_validate_dataset, tm_exposure, set_split_diff, sx_author_rule, set_dedupe_last,
+        join_asof_latest, src_assets, gr_parent_closure, agg_provenance, fn_split_point, sx_unique_key,
+        tm_exposure, set_split_diff, sx_author_rule, set_dedupe_last,
     )}
 
 

@@ -49,11 +49,6 @@ def op_bundle(spark: SparkSession, d: str) -> DataFrame:
     return R.bundles(o).select("family_id", "arm", "rows", "videos")
 
 
-def tm_permission(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "meme_records").select(F.explode("assets").alias("a")).select(F.col("a.asset_id").alias("asset_id"), (F.col("a.license_or_use_basis") != "unknown").alias("retrieval"), (F.col("a.status") == "ok").alias("training"))
-    return R.allowed(a, a.where("false"))
-
-
 def sample_shuffle(spark: SparkSession, d: str) -> DataFrame:
     """Blind order of each case's responses: a seeded hash decides, and shows nothing of the condition."""
     r = table(spark, d, "generation_responses").where("case_id is not null").dropDuplicates(["response_id"])
@@ -101,7 +96,6 @@ def join_contains(spark: SparkSession, d: str) -> DataFrame:
 SQL = {
     "op_bundle": """WITH o AS (SELECT channel_id AS family_id, count(*) AS rows, count(DISTINCT video_id) AS videos FROM observations WHERE text IS NOT NULL AND channel_id IS NOT NULL GROUP BY channel_id)
       SELECT family_id, arm, rows, videos FROM o CROSS JOIN (VALUES ('U0'), ('U1')) v(arm)""",
-    "tm_permission": "SELECT DISTINCT a.asset_id AS asset_id FROM (SELECT unnest(assets) AS a FROM meme_records) WHERE a.license_or_use_basis <> 'unknown' AND a.status = 'ok'",
     "sample_shuffle": """WITH r AS (SELECT DISTINCT case_id, response_id FROM generation_responses WHERE case_id IS NOT NULL)
       SELECT case_id, response_id, (row_number() OVER (PARTITION BY case_id ORDER BY sha256('seed|' || response_id)))::INT AS place FROM r""",
     "sample_even": """WITH d AS (SELECT doc_id, [CAST(floor(i * (n_chars - 1) / 4) AS BIGINT) for i in range(0, 5)] AS s FROM documents WHERE n_chars > 0)
@@ -117,7 +111,7 @@ SQL = {
 
 def queries():
     return {f.__name__: f for f in (
-        op_title_variations, op_shared_frames, op_review, op_identify, op_bundle, tm_permission, sample_shuffle, sample_even, agg_content_groups, sx_select_refs, sx_coverage, fn_html_escape, join_contains,
+        op_title_variations, op_shared_frames, op_review, op_identify, op_bundle, sample_shuffle, sample_even, agg_content_groups, sx_select_refs, sx_coverage, fn_html_escape, join_contains,
     )}
 
 
