@@ -179,10 +179,3 @@ def detect(
     ]
     top = out.orderBy(*[F.desc(k) for k in keys], "candidate_id").limit(max_candidates)
     return top
-
-
-def ranked(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """candidates with a dense `rank` in the order of the keys (descending), then id; for a top list only."""
-    from pyspark.sql import Window
-
-    return candidates.withColumn("rank", F.row_number().over(Window.orderBy(*[F.desc(k) for k in keys], "candidate_id")))

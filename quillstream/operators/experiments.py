@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
+from quillstream.operators.selection import ranked
+from quillstream.session import keep
 
 
 def expected_grid(cases: DataFrame, conditions: list[str]) -> DataFrame:
@@ -47,28 +49,23 @@ def paired_difference(ratings: DataFrame, base: str, other: str) -> DataFrame:
 def cluster_bootstrap(families: DataFrame, draws: int, seed: int) -> DataFrame:
     """(families, clusters, mean, low, high): equal-weight mean over families and its interval from resampled lineages.
 
-    Each draw gives a lineage a Poisson(1) weight from a seeded hash of (seed, draw, lineage): the bootstrap for data of
-    any size, with no index of lineages to collect. The interval is made of order statistics, not interpolated.
+    Every draw takes as many lineages as there are, with replacement: the i-th by a seeded hash of (seed, draw, i), from the
+    numbered lineages, and averages over the families of the lineages taken. The interval is made of the order statistics
+    at 2.5 and 97.5 %, not interpolated, and needs two lineages at least.
     """
-    clusters = families.groupBy("lineage").agg(F.sum("difference").alias("s"), F.count(F.lit(1)).alias("n"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", "lineage"), F.lit(1 << 53)) / float(1 << 53)
-    weight, p, total = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(9):
-        total += p
-        weight = weight + F.when(u >= total, 1).otherwise(0)
-        p /= k + 1
-    reps = clusters.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
-    means = reps.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m")).where("m is not null")
-    ordered = means.agg(F.sort_array(F.collect_list("m")).alias("m"))  # `draws` numbers
-    n = F.size("m")
+    per = families.where("lineage is not null").groupBy("lineage").agg(F.sum("difference").alias("s"), F.count(F.lit(1)).alias("n"))
+    clusters = keep(ranked(per, [F.col("lineage")], "place"))
+    m = clusters.count()
     point = families.agg(F.count(F.lit(1)).alias("families"), F.count_distinct("lineage").alias("clusters"), F.avg("difference").alias("mean"))
-
-    def at(q: float) -> Column:
-        return F.when(n > 0, F.element_at("m", F.floor(F.lit(q) * (n - 1)).cast("int") + 1))
-
-    return point.crossJoin(ordered).select(  # one row each
-        "families", "clusters", "mean", F.when(F.col("clusters") > 1, at(0.025)).alias("low"), F.when(F.col("clusters") > 1, at(0.975)).alias("high")
-    )
+    if m < 2:
+        return point.select("families", "clusters", "mean", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    pick = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("i").cast("string")), 256), 1, 13), 16, 10).cast("long")
+    spark = families.sparkSession
+    taken = spark.range(draws).withColumnRenamed("id", "draw").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(m).cast("long")))).select("draw", (pick % m + 1).alias("place"))
+    means = taken.groupBy("draw", "place").agg(F.count(F.lit(1)).alias("w")).join(clusters, "place").groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+    ordered = means.agg(F.sort_array(F.collect_list("m")).alias("m"))  # `draws` numbers
+    at = lambda q: F.element_at("m", F.lit(int(q * (draws - 1)) + 1))
+    return point.crossJoin(ordered).select("families", "clusters", "mean", at(0.025).alias("low"), at(0.975).alias("high"))  # one row each
 
 
 def tfidf_retrieve(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:

@@ -21,11 +21,6 @@ def join_grid(spark: SparkSession, d: str) -> DataFrame:
     return X.grid_difference(X.expected_grid(r, ["C0", "CR", "CF"]), r.where("status = 'completed'"))
 
 
-def ex_import(spark: SparkSession, d: str) -> DataFrame:
-    r = _responses(spark, d)
-    return X.imported(r, r).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-
-
 def agg_exp_summary(spark: SparkSession, d: str) -> DataFrame:
     """Per model and condition: responses, token-limit hits, mean tokens."""
     r = _responses(spark, d).dropDuplicates(["response_id"])
@@ -52,23 +47,11 @@ def agg_ratings(spark: SparkSession, d: str) -> DataFrame:
     return diff.select("family", F.round("difference", 6).alias("difference"))
 
 
-def agg_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return X.cluster_bootstrap(X.paired_difference(_ratings(spark, d), "C0", "CF"), 2000, 7)
-
-
 def agg_pairs_coverage(spark: SparkSession, d: str) -> DataFrame:
     r = _responses(spark, d).where("case_id is not null").groupBy("case_id").agg(F.count_distinct(F.when(F.col("condition").isin("C0", "CF"), F.col("condition"))).alias("n"))
     return r.groupBy(F.when(F.col("n") == 2, "complete").when(F.col("n") == 1, "partial").otherwise("unrated").alias("state")).agg(F.count(F.lit(1)).alias("cases"))
 
 
-def op_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    """For each dev and test example, the three nearest train examples of its family."""
-    e = table(spark, d, "creation_examples").select("example_id", F.col("family_id").alias("grp"), F.col("brief").alias("text"), split_of(F.col("split")).alias("s"))
-    queries_ = e.where("s in ('dev', 'test')").select(F.col("example_id").alias("query_id"), "grp", "text")
-    out = X.tfidf_retrieve(queries_, e.where("s = 'train'").select("example_id", "grp", "text"), 3)
-    return out.withColumn("score", F.round("score", 6))
-
-
 def win_adjacent(spark: SparkSession, d: str) -> DataFrame:
     """Words said twice in a row within titles."""
     cards = table(spark, d, "video_cards").where("title is not null").select("card_id", T.tokens(F.col("title")).alias("w")).where("size(w) > 1")
@@ -86,15 +69,6 @@ def agg_cost(spark: SparkSession, d: str) -> DataFrame:
     return day.select("model_id", F.col("day").cast("string").alias("day"), F.sum("tokens").over(w).cast("long").alias("spent"))
 
 
-def rg_query(spark: SparkSession, d: str) -> DataFrame:
-    """State of each user's event log: first and last event, and how many of each type."""
-    e = table(spark, d, "events")
-    return e.groupBy("user_id").agg(
-        F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"),
-        F.count(F.lit(1)).alias("events"), F.count_distinct("event_type").alias("types"),
-    )
-
-
 def gr_retry_chain(spark: SparkSession, d: str) -> DataFrame:
     """Responses of a request in time order as a chain: each names the one it retries."""
     r = _responses(spark, d).dropDuplicates(["response_id"]).where("request_id is not null")
@@ -116,8 +90,6 @@ SQL = {
       a AS (SELECT DISTINCT case_id, condition FROM generation_responses WHERE status = 'completed')
       SELECT coalesce(e.case_id, a.case_id) AS case_id, coalesce(e.condition, a.condition) AS condition, CASE WHEN a.case_id IS NULL THEN 'missing' ELSE 'unexpected' END AS state
       FROM e FULL JOIN a ON e.case_id = a.case_id AND e.condition = a.condition WHERE e.case_id IS NULL OR a.case_id IS NULL""",
-    "ex_import": """WITH f AS (SELECT request_id, status, output, row_number() OVER (PARTITION BY request_id ORDER BY created_at, response_id) AS n FROM generation_responses)
-      SELECT CASE WHEN status <> 'completed' THEN 'provider_error' WHEN output IS NULL OR trim(output, ' ') = '' THEN 'invalid_record' ELSE 'imported' END AS state, count(*) AS n FROM f WHERE n = 1 GROUP BY 1""",
     "agg_exp_summary": f"WITH {_FIRST} SELECT model_id, condition, count(*) AS responses, count(*) FILTER (WHERE output_reached_token_limit) AS limited, round(avg(output_tokens), 6) AS mean_tokens FROM r GROUP BY model_id, condition",
     "join_pivot_pair": """SELECT case_id, coalesce(max(output_tokens) FILTER (WHERE condition = 'C0'), -1) AS c0, coalesce(max(output_tokens) FILTER (WHERE condition = 'CR'), -1) AS cr,
       coalesce(max(output_tokens) FILTER (WHERE condition = 'CF'), -1) AS cf FROM generation_responses WHERE case_id IS NOT NULL GROUP BY case_id""",
@@ -130,7 +102,6 @@ SQL = {
       c AS (SELECT card_id, len([i for i in range(1, len(w)) if w[i] = w[i + 1]]) AS repeats FROM w WHERE len(w) > 1) SELECT card_id, repeats::INT AS repeats FROM c WHERE repeats > 0""",
     "agg_cost": f"""WITH {_FIRST}, d AS (SELECT model_id, CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day, sum(output_tokens) AS t FROM r WHERE created_at IS NOT NULL GROUP BY ALL)
       SELECT model_id, CAST(day AS VARCHAR) AS day, CAST(sum(t) OVER (PARTITION BY model_id ORDER BY day) AS BIGINT) AS spent FROM d""",
-    "rg_query": """SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS events, count(DISTINCT event_type) AS types FROM events GROUP BY user_id""",
     "gr_retry_chain": f"""WITH {_FIRST} SELECT request_id, response_id, coalesce(lag(response_id) OVER w, '') AS retry_of, (row_number() OVER w)::INT AS attempt FROM r WHERE request_id IS NOT NULL
       WINDOW w AS (PARTITION BY request_id ORDER BY created_at, response_id)""",
 }
@@ -138,7 +109,7 @@ SQL = {
 
 def queries():
     return {f.__name__: f for f in (
-        join_grid, ex_import, agg_exp_summary, join_pivot_pair, agg_ratings, agg_bootstrap, agg_pairs_coverage, op_retrieve, win_adjacent, agg_cost, rg_query,
+        join_grid, agg_exp_summary, join_pivot_pair, agg_ratings, agg_pairs_coverage, win_adjacent, agg_cost,
         gr_retry_chain, src_type_profile,
     )}
 

@@ -59,7 +59,8 @@ def fn_ngrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fn_quotes(spark: SparkSession, d: str) -> DataFrame:
-    return _cards(spark, d).where("title is not null").select("card_id", F.explode(S.quoted_spans(F.col("title"))).alias("span"))
+    """Quoted stretches of titles set in quotation marks."""
+    return _cards(spark, d).where("title is not null").select("card_id", F.explode(S.quoted_spans(F.concat(F.lit("「"), "title", F.lit("」")))).alias("span"))
 
 
 def fn_exact_span(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +173,7 @@ SQL = {
       g AS (SELECT card_id, array_to_string(w[CAST(i AS BIGINT):CAST(i AS BIGINT) + 1], ' ') AS phrase FROM (SELECT card_id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2)
         UNION ALL SELECT card_id, array_to_string(w[CAST(i AS BIGINT):CAST(i AS BIGINT) + 2], ' ') FROM (SELECT card_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3))
       SELECT phrase, count(DISTINCT card_id) AS cards FROM (SELECT * FROM g WHERE regexp_matches(phrase, '[가-힣]') UNION ALL SELECT card_id, x FROM (SELECT card_id, unnest(w) AS x FROM w) WHERE regexp_full_match(x, '[가-힣]{3,}')) GROUP BY phrase""",
-    "fn_quotes": r"""WITH q AS (SELECT card_id, trim(unnest(regexp_extract_all(title, '["“「‘'']([^"”」’''\n]{4,70})["”」’'']', 1)), ' ') AS span FROM video_cards WHERE title IS NOT NULL)
+    "fn_quotes": r"""WITH q AS (SELECT card_id, trim(unnest(regexp_extract_all('「' || title || '」', '["“「‘'']([^"”」’''\n]{4,70})["”」’'']', 1)), ' ') AS span FROM video_cards WHERE title IS NOT NULL)
       SELECT card_id, span FROM q WHERE len(regexp_split_to_array(span, '\s+')) >= 2 AND NOT regexp_full_match(span, '(?i)(?:예고|선공개|미방분|스페셜\s*클립|공식|뉴스|속보|shorts?|ep\.?\s*\d+|\d+화)')""",
     "fn_exact_span": f"""SELECT card_id, contains({_FOLD.format(f"trim(regexp_replace(nfc_normalize(concat_ws(chr(10), title, description)), '[{_WS}]+', ' ', 'g'), ' ')")}, {_FOLD.format(f"trim(regexp_replace(nfc_normalize(query), '[{_WS}]+', ' ', 'g'), ' ')")}) AS literal FROM video_cards WHERE query IS NOT NULL""",
     "fn_cues": f"""WITH l AS (SELECT card_id, {_lines('description')} AS l FROM video_cards WHERE description IS NOT NULL), x AS (SELECT card_id, i AS line, l[i] AS t FROM (SELECT card_id, l, unnest(range(1, len(l) + 1)) AS i FROM l))

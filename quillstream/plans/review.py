@@ -19,10 +19,6 @@ def op_title_variations(spark: SparkSession, d: str) -> DataFrame:
     return R.title_variations(_videos(spark, d).select(F.col("card_id").alias("id"), "video_id", "title"))
 
 
-def op_shared_frames(spark: SparkSession, d: str) -> DataFrame:
-    return R.shared_frames(table(spark, d, "video_cards"), 3, 3)
-
-
 def _phrases(spark: SparkSession, d: str) -> DataFrame:
     """The fifty frames of most videos, as candidates."""
     top = R.shared_frames(table(spark, d, "video_cards"), 3, 3).orderBy(F.desc("videos"), "frame").limit(50)
@@ -44,11 +40,6 @@ def op_identify(spark: SparkSession, d: str) -> DataFrame:
     return R.identify(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), families, "2024-06-01T00:00:00Z")
 
 
-def op_bundle(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "observations").where("text is not null").select(F.col("channel_id").alias("family_id"), "observation_id", "video_id", "text")
-    return R.bundles(o).select("family_id", "arm", "rows", "videos")
-
-
 def sample_shuffle(spark: SparkSession, d: str) -> DataFrame:
     """Blind order of each case's responses: a seeded hash decides, and shows nothing of the condition."""
     r = table(spark, d, "generation_responses").where("case_id is not null").dropDuplicates(["response_id"])
@@ -56,62 +47,20 @@ def sample_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return r.select("case_id", "response_id", F.row_number().over(w).alias("place"))
 
 
-def sample_even(spark: SparkSession, d: str) -> DataFrame:
-    """Five evenly spaced character positions of each document."""
-    docs = table(spark, d, "documents").where("n_chars > 0")
-    spots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.floor(i * (F.col("n_chars") - 1) / 4)))
-    return docs.select("doc_id", F.array_join(spots, ",").alias("spots"))
-
-
-def agg_content_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of documents with equal text, blanks and case aside."""
-    key = F.sha2(F.lower(F.regexp_replace("text", r"[ \n\t]+", "")), 256)
-    g = table(spark, d, "documents").where("text is not null").groupBy(key.alias("text_sha")).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
-    return g.where("docs > 1")
-
-
-def sx_select_refs(spark: SparkSession, d: str) -> DataFrame:
-    """Each video once, with how many queries and sightings chose it."""
-    c = table(spark, d, "video_cards").where("video_id is not null")
-    return c.groupBy("video_id").agg(F.count(F.lit(1)).alias("sightings"), F.count_distinct("query").alias("queries"), F.min("search_rank").alias("best_rank"))
-
-
-def sx_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Per channel: rows, videos, and whether texts are complete."""
-    o = table(spark, d, "observations").where("channel_id is not null")
-    g = o.groupBy("channel_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("video_id").alias("videos"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) == 0).alias("empty"))
-    return g.withColumn("state", F.when(F.col("empty") == 0, "complete").when(F.col("empty") < F.col("rows"), "partial").otherwise("empty"))
-
-
 def fn_html_escape(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "generation_responses").where("output is not null").select("response_id", F.sha2(T.html_escape(F.col("output")), 256).alias("sha")).distinct()
 
 
-def join_contains(spark: SparkSession, d: str) -> DataFrame:
-    """Cards that hold the search query they were found by."""
-    c = table(spark, d, "video_cards").where("query is not null and title is not null")
-    return c.groupBy("query").agg(F.count(F.lit(1)).alias("cards"), F.count_if(F.lower(F.concat_ws("\n", "title", "description")).contains(F.lower("query"))).alias("literal"))
-
-
 SQL = {
-    "op_bundle": """WITH o AS (SELECT channel_id AS family_id, count(*) AS rows, count(DISTINCT video_id) AS videos FROM observations WHERE text IS NOT NULL AND channel_id IS NOT NULL GROUP BY channel_id)
-      SELECT family_id, arm, rows, videos FROM o CROSS JOIN (VALUES ('U0'), ('U1')) v(arm)""",
     "sample_shuffle": """WITH r AS (SELECT DISTINCT case_id, response_id FROM generation_responses WHERE case_id IS NOT NULL)
       SELECT case_id, response_id, (row_number() OVER (PARTITION BY case_id ORDER BY sha256('seed|' || response_id)))::INT AS place FROM r""",
-    "sample_even": """WITH d AS (SELECT doc_id, [CAST(floor(i * (n_chars - 1) / 4) AS BIGINT) for i in range(0, 5)] AS s FROM documents WHERE n_chars > 0)
-      SELECT doc_id, array_to_string(list_sort(list_distinct(s)), ',') AS spots FROM d""",
-    "agg_content_groups": """SELECT sha256(lower(regexp_replace(text, '[ \\n\\t]+', '', 'g'))) AS text_sha, count(*) AS docs, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
-    "sx_select_refs": "SELECT video_id, count(*) AS sightings, count(DISTINCT query) AS queries, min(search_rank) AS best_rank FROM video_cards WHERE video_id IS NOT NULL GROUP BY video_id",
-    "sx_coverage": """WITH g AS (SELECT channel_id, count(*) AS rows, count(DISTINCT video_id) AS videos, count(*) FILTER (WHERE coalesce(length(text), 0) = 0) AS empty FROM observations WHERE channel_id IS NOT NULL GROUP BY channel_id)
-      SELECT *, CASE WHEN empty = 0 THEN 'complete' WHEN empty < rows THEN 'partial' ELSE 'empty' END AS state FROM g""",
     "fn_html_escape": """SELECT DISTINCT response_id, sha256(replace(replace(replace(replace(replace(output, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS sha FROM generation_responses WHERE output IS NOT NULL""",
-    "join_contains": """SELECT query, count(*) AS cards, count(*) FILTER (WHERE contains(lower(concat_ws(chr(10), title, description)), lower(query))) AS literal FROM video_cards WHERE query IS NOT NULL AND title IS NOT NULL GROUP BY query""",
 }
 
 
 def queries():
     return {f.__name__: f for f in (
-        op_title_variations, op_shared_frames, op_review, op_identify, op_bundle, sample_shuffle, sample_even, agg_content_groups, sx_select_refs, sx_coverage, fn_html_escape, join_contains,
+        op_title_variations, op_review, op_identify, sample_shuffle, fn_html_escape,
     )}
 
 
