@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import text as T
 from quillstream.functions.times import instant
 from quillstream.operators.components import connected
-from quillstream.session import keep
+from quillstream.session import keep, small
 
 
 def text_lines(observations: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def phrase_uses(lines: DataFrame, max_words: int) -> DataFrame:
     return spoken.unionByName(tags).distinct()
 
 
-def maximal(index: DataFrame) -> DataFrame:
+def maximal(index: DataFrame, max_words: int = 64) -> DataFrame:
     """Of phrases with equal support, those no longer one contains; protected ones stay.
 
     index: (phrase, protected, signature) with the signature of the set of supporting rows. Containment is transitive, so
@@ -76,7 +76,7 @@ def maximal(index: DataFrame) -> DataFrame:
     lists its inner phrases, which are then struck off by an equi-join, not by comparing all pairs of the group.
     """
     words = F.split("phrase", " ")
-    inner = index.where(F.size(words) > 1).select("signature", F.explode(T.word_ngrams(words, 1, 64)).alias("inner"), "phrase").where("inner <> phrase").select("signature", F.col("inner").alias("phrase")).distinct()
+    inner = index.where(F.size(words) > 1).select("signature", F.explode(T.word_ngrams(words, 1, max_words)).alias("inner"), "phrase").where("inner <> phrase").select("signature", F.col("inner").alias("phrase")).distinct()
     plain, kept = index.where("not protected"), index.where("protected")
     return plain.join(inner, ["signature", "phrase"], "left_anti").unionByName(kept)
 
@@ -116,7 +116,7 @@ def detect(
     """
     obs = keep(
         observations.select(
-            "observation_id", F.struct(F.lower("platform").alias("p"), F.col("source_id").alias("s")).alias("source"), "video_id", "channel_id",
+            "observation_id", F.xxhash64(F.lower("platform"), F.col("source_id")).alias("source"), "video_id", "channel_id",
             F.xxhash64("normalized").alias("content"), F.to_date(instant("posted_at")).alias("day"), instant("available_at").alias("available"),
             instant("posted_at").alias("posted"),
         )
@@ -124,13 +124,15 @@ def detect(
     lines = line_reasons(text_lines(observations), least_repeats)
     uses = keep(phrase_uses(lines, max_words))
     live = uses.where("suppressed is null")
+    if method == "D0":  # a phrase alone: what fewer rows hold than sources are needed neither counts nor makes others inner ones
+        live = live.join(live.groupBy("phrase").agg(F.count_distinct("observation_id").alias("n")).where(F.col("n") >= min_documents).select("phrase"), "phrase", "left_semi")
     # the set of supporting rows, as its size and two order-free sums of hashes
     distinct = live.groupBy("phrase", "observation_id").agg(F.max("protected").alias("protected")).groupBy("phrase").agg(
         F.max("protected").alias("protected"),
         F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("observation_id").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(7), "observation_id").cast("decimal(38,0)")).alias("h2"),
     )
     index = maximal(
-        distinct.select("phrase", "protected", F.concat_ws("|", "n", "h1", "h2").alias("signature"))
+        distinct.select("phrase", "protected", F.concat_ws("|", "n", "h1", "h2").alias("signature")), max(max_words, 64)
     ).select("phrase")
     in_obs = live.join(obs, "observation_id")
     ordered = in_obs.join(index, "phrase", "left_semi").groupBy("phrase").agg(F.count_distinct("source").alias("docs"), F.count_distinct("video_id").alias("videos"), F.count_distinct("observation_id").alias("rows"))
@@ -146,7 +148,10 @@ def detect(
         members = nodes.select("phrase", "rows", F.col("phrase").alias("cluster"))
         linked = None
     members = keep(members)
-    evidence = live.join(F.broadcast(members.select("phrase", "cluster")), "phrase").join(obs, "observation_id")  # at most max_phrase_nodes rows
+    named = small(members.select("phrase", "cluster"), max_phrase_nodes, 512)
+    # once per cluster, row and origin; everything else follows from the row
+    evidence = keep(live.join(named, "phrase").select("cluster", "observation_id", "origin").distinct().join(obs, "observation_id"))
+    sources = obs.agg(F.count_distinct("source").alias("all_sources"))
     source_if = lambda origin: F.count_distinct(F.when(F.col("origin") == origin, F.col("source")))
     scores = evidence.groupBy("cluster").agg(
         F.count_distinct("source").alias("source_document_frequency"), F.count_distinct("video_id").alias("source_video_count"),
@@ -162,7 +167,7 @@ def detect(
         F.count(F.lit(1)).alias("surface_form_count"),
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("r"), (-F.length("phrase")).alias("l"), "phrase"))), lambda x: x["phrase"]).alias("surface_forms"),
     )
-    boiler = uses.where("suppressed is not null").join(F.broadcast(members.select("phrase", "cluster")), "phrase").join(obs, "observation_id").groupBy("cluster").agg(F.count_distinct("source").alias("boilerplate_support_excluded"))
+    boiler = uses.where("suppressed is not null").join(named, "phrase").join(obs, "observation_id").groupBy("cluster").agg(F.count_distinct("source").alias("boilerplate_support_excluded"))
     channel_videos = obs.where("channel_id is not null").groupBy("channel_id").agg(F.count_distinct("video_id").alias("of"))
     tagged = evidence.where("channel_id is not null").groupBy("cluster", "channel_id").agg(F.count_distinct(F.when(F.col("origin") == "hashtag", F.col("video_id"))).alias("videos"))
     ubiquity = tagged.join(channel_videos, "channel_id").groupBy("cluster").agg(F.min(F.col("videos") / F.col("of")).alias("least_fraction"))
@@ -177,5 +182,6 @@ def detect(
     keys = ["source_document_frequency", "source_video_count"] if method == "D0" else [
         "content_priority", "title_support", "channel_count", "distinct_observed_content_count", "possible_variant_edge_count", "source_video_count",
     ]
+    out = out.crossJoin(F.broadcast(sources)).withColumn("source_fraction", F.try_divide("source_document_frequency", "all_sources")).drop("all_sources")  # one row
     top = out.orderBy(*[F.desc(k) for k in keys], "candidate_id").limit(max_candidates)
     return top

@@ -81,7 +81,22 @@ def op_metadata_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op_detect_d0(spark: SparkSession, d: str) -> DataFrame:
-    return D.detect(_eligible(spark, d), method="D0").drop("surface_forms")
+    return _named_times(D.detect(_eligible(spark, d), method="D0"))
+
+
+def _named_times(candidates: DataFrame) -> DataFrame:
+    """Candidates with their times as microseconds and the measures that single phrases have."""
+    us = lambda c: F.unix_micros(c).cast("string")
+    return candidates.select(
+        "candidate_id", "representative_phrase", "source_document_frequency", "source_video_count", "distinct_observed_content_count", "observation_count", "channel_count", "title_support", "hashtag_support",
+        "description_support", us("first_observed_available_at").alias("first_us"), us("last_observed_available_at").alias("last_us"),
+    )
+
+
+def agg_score(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of all sources, and of titles among them, of the candidates."""
+    c = D.detect(_eligible(spark, d), method="D0")
+    return c.select(F.col("representative_phrase").alias("phrase"), F.round("source_fraction", 9).alias("source_fraction"), F.round(F.col("title_support") / F.col("source_document_frequency"), 9).alias("title_fraction"), "channel_count")
 
 
 def op_detect_d1(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +189,51 @@ h AS (SELECT input_line, CASE WHEN row_number() OVER (PARTITION BY lower(platfor
 x AS (SELECT input_line, r1 AS reason FROM r WHERE r1 IS NOT NULL UNION ALL SELECT input_line, r2 FROM g WHERE r2 IS NOT NULL UNION ALL SELECT input_line, reason FROM h)
 """
 
+_NOTICES = [p.replace("(?iU)", "(?i)").replace("'", "''") for p in (T.PRODUCTION_NOTICE, T.UPLOAD_NOTICE)]
+
+
+#: Full-width letters and digits, and what they are composed to.
+_NARROW = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _NARROW)
+
+
+def _detect_sql() -> str:
+    """Discovery of single phrases (D0) as common table expressions, up to the scored phrases `sc`."""
+    from quillstream.plans.functions import _BREAK, _CONTACT, _W, _lines
+
+    tag = f"(^|[^{_W}#])#([가-힣A-Za-z0-9_]+)"
+    lower = "lower(line)"
+    return _REASONS + f""", ob AS (SELECT o.observation_id, lower(o.platform) || chr(31) || o.source_id AS source, o.video_id, o.channel_id, array_to_string(regexp_extract_all(lower(translate(nfc_normalize(o.text), '{_WIDE}', '{_NARROW}')), '[가-힣A-Za-z0-9]+'), ' ') AS content, o.a AS available, o.p AS posted,
+        CASE WHEN (lower(o.modality) = 'video_metadata' OR o.kind = 'video') AND o.context.video_title IS NOT NULL THEN [{{'f': 'title', 'v': o.context.video_title}}, {{'f': 'description', 'v': o.context.video_description}}]
+          WHEN lower(o.modality) IN ('title', 'description') THEN [{{'f': lower(o.modality), 'v': o.text}}] WHEN contains(lower(o.modality), 'comment') OR o.kind IN ('comment', 'reply') THEN [{{'f': 'comment', 'v': o.text}}] ELSE [{{'f': 'text', 'v': o.text}}] END AS fs
+        FROM o JOIN x USING (input_line) WHERE x.reason = 'eligible' AND o.provenance = 'actual_collected'),
+      fl AS (SELECT observation_id, video_id, channel_id, f.f AS field, {_lines('f.v')} AS l FROM (SELECT observation_id, video_id, channel_id, unnest(fs) AS f FROM ob) WHERE f.v IS NOT NULL),
+      ln AS (SELECT observation_id, video_id, channel_id, field, n, nfc_normalize(l[n]) AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS n FROM fl)),
+      sg AS (SELECT *, list_filter([array_to_string(regexp_extract_all(lower(z), '[가-힣A-Za-z0-9]+'), ' ') for z in regexp_split_to_array(regexp_replace(regexp_replace(line, '{_CONTACT}', chr(10), 'g'), '{tag}', '\\1' || chr(10), 'g'), '{_BREAK}')], lambda q: q <> '') AS segs FROM ln),
+      rp AS (SELECT channel_id, segs FROM sg WHERE field = 'description' AND channel_id <> '' AND len(segs) > 0 GROUP BY channel_id, segs HAVING count(DISTINCT video_id) >= 3),
+      mk AS (SELECT sg.*, CASE WHEN field = 'description' AND regexp_matches(line, '{_NOTICES[0]}') THEN 'production_or_contact_notice' WHEN field = 'description' AND regexp_matches(line, '{_NOTICES[1]}') THEN 'upload_or_navigation_notice'
+        WHEN field = 'description' AND rp.channel_id IS NOT NULL THEN 'same_channel_repeated_description_line' END AS sup FROM sg LEFT JOIN rp ON rp.channel_id = sg.channel_id AND rp.segs = sg.segs),
+      wd AS (SELECT observation_id, field, sup, string_split(seg, ' ') AS w FROM (SELECT observation_id, field, sup, unnest(segs) AS seg FROM mk)),
+      gr AS (SELECT observation_id, field, sup, array_to_string(w[CAST(i AS BIGINT):CAST(i AS BIGINT) + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM wd, (VALUES (2), (3), (4), (5), (6)) v(n) WHERE len(w) >= n)),
+      us AS (SELECT DISTINCT * FROM (SELECT phrase, observation_id, field AS origin, false AS prot, sup FROM gr WHERE regexp_matches(phrase, '[가-힣]')
+        UNION ALL SELECT y, observation_id, field, false, sup FROM (SELECT observation_id, field, sup, unnest(w) AS y FROM wd) WHERE regexp_full_match(y, '[가-힣]{{3,}}')
+        UNION ALL SELECT array_to_string(regexp_extract_all(lower(t), '[가-힣A-Za-z0-9]+'), ' '), observation_id, 'hashtag', true, NULL FROM (SELECT observation_id, unnest(regexp_extract_all(regexp_replace(line, '{_CONTACT}', chr(10), 'g'), '(?:^|[^{_W}#])#([가-힣A-Za-z0-9_]+)', 1)) AS t FROM mk) WHERE regexp_matches(lower(t), '[가-힣]'))),
+      lv AS (SELECT * FROM us WHERE sup IS NULL),
+      ix AS (SELECT phrase, bool_or(prot) AS prot, sha256(string_agg(DISTINCT observation_id, ',' ORDER BY observation_id)) AS sig FROM lv GROUP BY phrase),
+      inn AS (SELECT DISTINCT sig, array_to_string(w[CAST(i AS BIGINT):CAST(j AS BIGINT)], ' ') AS phrase FROM (SELECT sig, w, i, unnest(range(i, len(w) + 1)) AS j FROM (SELECT sig, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT sig, string_split(phrase, ' ') AS w FROM ix WHERE contains(phrase, ' ')))) WHERE j - i + 1 < len(w)),
+      kp AS (SELECT phrase FROM ix WHERE prot UNION ALL SELECT ix.phrase FROM ix LEFT JOIN inn ON inn.sig = ix.sig AND inn.phrase = ix.phrase WHERE NOT prot AND inn.phrase IS NULL),
+      ev AS (SELECT lv.phrase, lv.origin, ob.* FROM lv JOIN kp USING (phrase) JOIN ob USING (observation_id)),
+      nd AS (SELECT phrase FROM ev GROUP BY phrase HAVING count(DISTINCT source) >= 2 ORDER BY count(DISTINCT source) DESC, length(phrase) DESC, phrase LIMIT 3000),
+      sc AS (SELECT phrase, count(DISTINCT source) AS source_document_frequency, count(DISTINCT video_id) AS source_video_count, count(DISTINCT content) AS distinct_observed_content_count, count(DISTINCT observation_id) AS observation_count, count(DISTINCT channel_id) AS channel_count,
+        count(DISTINCT source) FILTER (WHERE origin = 'title') AS title_support, count(DISTINCT source) FILTER (WHERE origin = 'hashtag') AS hashtag_support, count(DISTINCT source) FILTER (WHERE origin = 'description') AS description_support, CAST(epoch_us(min(available)) AS VARCHAR) AS first_us, CAST(epoch_us(max(available)) AS VARCHAR) AS last_us
+        FROM ev JOIN nd USING (phrase) GROUP BY phrase HAVING count(DISTINCT source) >= 2 AND count(DISTINCT video_id) >= 2)
+"""
+
+
 SQL = {
+    "op_detect_d0": lambda: _detect_sql() + "SELECT 'qsc_' || substr(sha256(phrase), 1, 20) AS candidate_id, phrase AS representative_phrase, * EXCLUDE (phrase) FROM sc ORDER BY source_document_frequency DESC, source_video_count DESC, candidate_id LIMIT 100",
+    "op_metadata_index": lambda: _detect_sql() + "SELECT field, coalesce(sup, 'kept') AS suppressed, count(*) AS lines, count(DISTINCT video_id) AS videos FROM mk GROUP BY 1, 2",
+    "agg_score": lambda: _detect_sql() + "SELECT phrase, round(source_document_frequency / (SELECT count(DISTINCT source) FROM ob)::DOUBLE, 9) AS source_fraction, round(title_support / source_document_frequency::DOUBLE, 9) AS title_fraction, channel_count FROM sc ORDER BY source_document_frequency DESC, source_video_count DESC, 'qsc_' || substr(sha256(phrase), 1, 20) LIMIT 100",
     "flt_admit": _REASONS + "SELECT input_line, reason FROM x",
     "agg_reason_hist": _REASONS + "SELECT reason, count(*) AS n FROM x GROUP BY reason",
     "flt_ts_guard": f"SELECT input_line, CAST(epoch_us({_ts('posted_at')}) AS VARCHAR) AS posted_us, CAST(epoch_us({_ts('updated_at')}) AS VARCHAR) AS updated_us FROM observations",
@@ -212,10 +271,10 @@ SQL = {
 def queries():
     return {f.__name__: f for f in (
         flt_admit, agg_reason_hist, flt_ts_guard, fn_date_info, fn_char_grams, fn_bigram_jaccard, fn_hash_id,
-        agg_repeat_lines, agg_phrase_support, op_metadata_index, op_detect_d0, op_detect_d1, win_unique_video, win_first_seen, op_plan_seeds, op_followups,
+        agg_repeat_lines, agg_phrase_support, op_metadata_index, agg_score, op_detect_d0, op_detect_d1, win_unique_video, win_first_seen, op_plan_seeds, op_followups,
         op_families, agg_day_hist, agg_channel_frac, agg_growth, topk_search_rank,
     )}
 
 
 def oracle_sql():
-    return dict(SQL)
+    return {k: v() if callable(v) else v for k, v in SQL.items()}
