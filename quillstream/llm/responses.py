@@ -196,6 +196,8 @@ def judge(df: DataFrame, profiles: Profiles, id_col: str = "response_id", prompt
                     defect[i] = "copy"
                 elif refusals.match(flat):
                     defect[i] = "refusal"
+                elif hangul(prompts[i]) and hangul(outputs[i]):  # one language has that script, so no profile need be asked
+                    defect[i] = "truncated" if stops_within(outputs[i]) else None
                 else:
                     a, b = segments(prompts[i]), segments(outputs[i])
                     spans[i] = (len(parts), len(parts) + len(a), len(parts) + len(a) + len(b))
@@ -217,6 +219,15 @@ def judge(df: DataFrame, profiles: Profiles, id_col: str = "response_id", prompt
     return found.groupBy("id").agg(F.min_by("defect", order[F.col("defect")]).alias("defect")).select(F.col("id").alias(id_col), "defect")
 
 
+_HANGUL, _LETTERS = re.compile("[\uac00-\ud7a3]+"), re.compile(r"[^\W\d_]+")
+
+
+def hangul(text: str) -> bool:
+    """Whether nine letters of ten, and ten at least, are Hangul syllables."""
+    own = sum(map(len, _HANGUL.findall(text)))
+    return own >= 10 and own >= 0.9 * sum(map(len, _LETTERS.findall(text)))
+
+
 def _majority(parts: list[str], langs: list[str], conf, a: int, b: int) -> str | None:
     """The language of most letters of the sure segments a to b."""
     weight: dict[str, float] = {}
