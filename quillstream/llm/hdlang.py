@@ -35,6 +35,7 @@ _CREDIT = re.compile(
     r"[^\S\n]*[^\s)\]|/。！？]*(?:(?:[^\S\n]+(?:[A-ZÀ-Þ][\w'’-]*|&)){1,3}(?=[^\S\n]*(?:$|[|/)\]。.!?…])))?",
     re.M,
 )
+_CREDIT_SIGNS = ("thanks to", "edit", "bgm", "music", "feat", "ft.", "prod", "w/", "cr.", "sub by", "art by", "mix by")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])[\"'”’」』)\]]*\s*|\n+|(?<=다[~])\s+| \| |(?<=~)\s+")
 
 
@@ -52,11 +53,27 @@ def plain(text: str) -> str:
     return text
 
 
+_HANGUL = re.compile("[\uac00-\ud7a3]+")
+
+
+def hangul(text: str) -> bool:
+    """Whether nine letters of ten, and ten at least, are Hangul syllables."""
+    own = sum(map(len, _HANGUL.findall(text)))
+    return own >= 10 and own >= 0.9 * sum(map(len, _WORD.findall(text)))
+
+
 def segments(text: str) -> list[str]:
     """Sentences of a text without links, tags and credits; what has no letters is left out."""
     out = []
     for line in text.split("\n"):
-        line = _CREDIT.sub(" ", _TAG.sub(" ", _LINK.sub(" ", plain(line))))
+        line = plain(line)
+        # most lines hold none of these, which is told faster than by the patterns
+        if "http" in line or "www." in line or "@" in line:
+            line = _LINK.sub(" ", line)
+        if "#" in line or "@" in line:
+            line = _TAG.sub(" ", line)
+        if any(map(line.lower().__contains__, _CREDIT_SIGNS)):
+            line = _CREDIT.sub(" ", line)
         for s in _SENTENCE.split(line):
             if s and _WORD.search(s):
                 out.append(s.strip())
@@ -130,9 +147,21 @@ class Profiles:
         return out.astype(np.float32)
 
     def cosines(self, texts: list[str]) -> np.ndarray:
-        """Cosine of each text's bundle with each prototype; zeros for texts without letters."""
+        """Cosine of each text's bundle with each prototype; zeros for texts without letters. A text in Hangul, the script of one
+        language, needs no bundle: it has cosine one with that language and zero with the others."""
         if not texts:
             return np.zeros((0, len(self.langs)), dtype=np.float32)
+        if "ko" in self.langs:
+            own = np.array([hangul(t) for t in texts])
+            if own.any():
+                out = np.zeros((len(texts), len(self.langs)), dtype=np.float32)
+                out[own, self.langs.index("ko")] = 1
+                if not own.all():
+                    out[~own] = self._cosines([t for t, k in zip(texts, own) if not k])
+                return out
+        return self._cosines(texts)
+
+    def _cosines(self, texts: list[str]) -> np.ndarray:
         codes, owner = _codes(texts)
         if len(codes) < 3:
             return np.zeros((len(texts), len(self.langs)), dtype=np.float32)

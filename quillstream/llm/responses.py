@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.hdlang import Profiles, plain, segments
+from quillstream.llm.hdlang import Profiles, hangul, plain, segments
 from quillstream.llm.strings import common_subsequence, letters, shingles
 
 # Placeholders, as letters.
@@ -219,15 +219,6 @@ def judge(df: DataFrame, profiles: Profiles, id_col: str = "response_id", prompt
     return found.groupBy("id").agg(F.min_by("defect", order[F.col("defect")]).alias("defect")).select(F.col("id").alias(id_col), "defect")
 
 
-_HANGUL, _LETTERS = re.compile("[\uac00-\ud7a3]+"), re.compile(r"[^\W\d_]+")
-
-
-def hangul(text: str) -> bool:
-    """Whether nine letters of ten, and ten at least, are Hangul syllables."""
-    own = sum(map(len, _HANGUL.findall(text)))
-    return own >= 10 and own >= 0.9 * sum(map(len, _LETTERS.findall(text)))
-
-
 def _majority(parts: list[str], langs: list[str], conf, a: int, b: int) -> str | None:
     """The language of most letters of the sure segments a to b."""
     weight: dict[str, float] = {}

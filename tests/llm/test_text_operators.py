@@ -184,7 +184,7 @@ def test_cosines_are_those_of_the_bundles():
     samples = [("en", "the cat sat on the mat and the dog ran"), ("de", "die Katze sitzt auf der Matte und der Hund lief"), ("ko", "고양이가 매트 위에 앉았고 강아지는 달렸다")]
     p = Profiles(samples * 3)
     texts = ["the dog sat on the dog", "der Hund auf der Matte", "강아지가 앉았다 앉았다", ""]
-    got = p.cosines(texts)
+    got = p._cosines(texts)
     for text, row in zip(texts[:3], got):
         v = p.bundle(text)
         assert np.abs(row - p.prototypes @ v / np.linalg.norm(v)).max() < 0.1
