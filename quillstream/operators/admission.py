@@ -44,41 +44,30 @@ def row_reason(cutoff: str) -> Column:
 
 
 def admit(rows: DataFrame, cutoff: str, line: str = "input_line") -> DataFrame:
-    """rows with `normalized` and `reason` (null: eligible) added.
+    """rows with `normalized` and `reason` (null: eligible), in place of columns of these names.
 
     Among the rows that pass the row rules, the first of an id stands; later equal ones are duplicate_observation, later
     different ones conflicting_observation_id, and then the first is withdrawn for the same reason. Of what is left, the
     latest collected of each platform, source and modality stands (ties: greater id); others are
     superseded_source_snapshot. Nulls in any column lead to a reason; equal lines are told apart by content; an empty
-    table gives an empty result. Ids and sources of any size are only aggregated and joined back, never windowed.
+    table gives an empty result. Ids and sources of any size are only aggregated and joined back, never windowed. The rows
+    are written once; what compares them carries keys and digests only, and only lines with a reason are joined back.
     """
-    columns = rows.columns
-    content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns if c != line]), {"ignoreNullFields": "false"}), 256)
-    # kept, as four branches read it
-    timed = rows.withColumns({f"__{c}": instant(c) for c in TIMES})
-    base = keep(timed.withColumn("normalized", T.normalized(T.nfkc(F.col("text")))).withColumn("r1", row_reason(cutoff)).withColumn("content", content))
-    passed = base.where("r1 is null")
-    firsts = passed.groupBy("observation_id").agg(F.min(F.struct(line, "content")).alias("first"))
-    told = passed.select("observation_id", "content").join(firsts, "observation_id")
-    conflicts = told.groupBy("observation_id").agg(F.max(F.col("content") != F.col("first.content")).alias("conflict"))
-    ids = firsts.join(conflicts, "observation_id").select(F.col("observation_id").alias("oid"), "first", "conflict")
-    second = base.join(ids, (F.col("observation_id") == F.col("oid")) & F.col("r1").isNull(), "left").withColumn(
-        "r2",
-        first_reason(
-            (F.col("r1").isNotNull(), ""),
-            ((F.col(line) > F.col(f"first.{line}")) & (F.col("content") == F.col("first.content")), "duplicate_observation"),
-            (F.col("conflict"), "conflicting_observation_id"),
-        ),
+    columns = [c for c in rows.columns if c not in ("normalized", "reason")]
+    content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != line]), {"ignoreNullFields": "false"}), 256)
+    told = rows.withColumn("__content", F.unhex(content)).drop("normalized", "reason").withColumns({f"__{c}": instant(c) for c in TIMES})
+    base = keep(told.withColumn("normalized", T.normalized(T.nfkc(F.col("text")))).withColumn("__r1", row_reason(cutoff)))
+    passed = base.where("__r1 is null").select(
+        F.col(line).alias("line"), F.col("observation_id").alias("id"), F.col("__content").alias("content"), F.lower("platform").alias("p"), F.col("source_id").alias("s"), F.col("modality").alias("m"), F.col("__collected_at").alias("at"),
     )
-    second = keep(second.withColumn("reason2", F.coalesce("r1", "r2")))
-    key = [F.lower("platform"), F.col("source_id"), F.col("modality")]
-    latest = (
-        second.where("reason2 is null")
-        .groupBy(key[0].alias("kp"), key[1].alias("ks"), key[2].alias("km"))
-        .agg(F.max(F.struct(instant("collected_at").alias("at"), F.col("observation_id").alias("o"))).alias("newest"))
-    )
-    joined = second.join(
-        latest, (F.col("reason2").isNull()) & (F.lower("platform") == F.col("kp")) & (F.col("source_id") == F.col("ks")) & (F.col("modality") == F.col("km")), "left"
-    )
-    reason = F.coalesce("reason2", F.when(F.col("newest.o") != F.col("observation_id"), "superseded_source_snapshot"))
-    return joined.select(*[F.col(f"`{c}`") for c in columns], "normalized", reason.alias("reason"))
+    several = passed.groupBy("id").agg(F.min(F.struct("line", "content")).alias("first"), F.min("content").alias("low"), F.max("content").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = passed.select("line", "id", "content").join(several, "id").select("line", first_reason(
+        ((F.col("line") > F.col("first.line")) & (F.col("content") == F.col("first.content")), "duplicate_observation"), (F.col("low") != F.col("high"), "conflicting_observation_id"),
+    ).alias("r")).where("r is not null")
+    repeated = keep(repeated)
+    left = passed.join(repeated, "line", "left_anti")
+    newest = left.groupBy("p", "s", "m").agg(F.max(F.struct("at", "id")).alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    older = left.join(newest, ["p", "s", "m"]).where(F.col("id") != F.col("newest.id")).select("line", F.lit("superseded_source_snapshot").alias("r"))
+    reasons = repeated.unionByName(older).groupBy(F.col("line").alias("__line")).agg(F.min("r").alias("__r"))  # a line given twice is joined once
+    joined = base.join(reasons, (base[line] == F.col("__line")) & F.col("__r1").isNull(), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in columns], "normalized", F.coalesce("__r1", "__r").alias("reason"))
