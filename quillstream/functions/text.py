@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -93,36 +94,47 @@ def masked_segments(c: Column) -> Column:
     return F.filter(F.transform(open_parts, normalized), lambda s: s != "")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value computed once per row: inside of other lambdas an expression is computed anew for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def word_ngrams(words: Column, least: int, most: int) -> Column:
     """Distinct n-grams of `least` to `most` words of a word array, joined by spaces."""
-    sizes = F.when(F.size(words) >= least, F.sequence(F.lit(least), F.least(F.lit(most), F.size(words)))).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    return F.array_distinct(F.flatten(grams))
+
+    def grams(w: Column) -> Column:
+        sizes = F.when(F.size(w) >= least, F.sequence(F.lit(least), F.least(F.lit(most), F.size(w)))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))))
+
+    return bound(words, grams)
 
 
 def phrases(segment: Column, most: int) -> Column:
     """Phrases of a token string: n-grams of 2 to `most` words that hold Hangul, and single all-Hangul words of 3 letters or more."""
-    words = F.split(segment, " ")
-    grams = F.filter(word_ngrams(words, 2, most), lambda p: p.rlike(HANGUL))
-    single = F.filter(words, lambda w: w.rlike("^[가-힣]{3,}$"))
-    return F.array_distinct(F.concat(grams, single))
+
+    def of_words(w: Column) -> Column:
+        grams = F.filter(word_ngrams(w, 2, most), lambda p: p.rlike(HANGUL))
+        return F.array_distinct(F.concat(grams, F.filter(w, lambda x: x.rlike("^[가-힣]{3,}$"))))
+
+    return bound(F.split(segment, " "), of_words)
+
+
+def _stretches(text: Column, n: int) -> Column:
+    """All stretches of n characters of a text, repeats kept."""
+    none = F.array().cast("array<string>")
+    return bound(text, lambda t: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(none))
 
 
 def char_ngrams(c: Column, n: int) -> Column:
-    """Character n-grams, repeats kept, of a text in lower case without white space."""
-    text = F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
-    return F.when(
-        F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
-    ).otherwise(F.array().cast("array<string>"))
+    """Character n-grams, repeats kept, of a text in lower case without white space; none of a null."""
+    return F.coalesce(_stretches(F.lower(F.regexp_replace(c, r"(?U)\s+", "")), n), F.array().cast("array<string>"))
 
 
 def bigram_jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of the sets of character bigrams."""
-
-    def grams(c: Column) -> Column:
-        return F.when(F.length(c) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
-
-    return F.size(F.array_intersect(grams(a), grams(b))) / F.greatest(F.lit(1), F.size(F.array_union(grams(a), grams(b))))
+    none = F.array().cast("array<string>")
+    sets = F.struct(*[F.coalesce(F.array_distinct(_stretches(c, 2)), none).alias(k) for c, k in ((a, "a"), (b, "b"))])
+    return bound(sets, lambda s: F.size(F.array_intersect(s["a"], s["b"])) / F.greatest(F.lit(1), F.size(F.array_union(s["a"], s["b"]))))
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.session import cut
+from quillstream.session import keep
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def connected(edges: DataFrame) -> DataFrame:
     are never collected. Self-loops and null ends are left out; no edges give no nodes.
     """
     pairs = edges.where("a is not null and b is not null and a <> b")
-    now = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = keep(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -23,7 +23,7 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
-        now = cut(small.where("a <> b").distinct())
+        now = keep(small.where("a <> b").distinct())
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == state:
             break
@@ -34,23 +34,23 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node): the start nodes and all they lead to over the edges (parent, child): taint that spreads to descendants."""
-    found = cut(start.select("node").where("node is not null").distinct())
+    found = keep(start.select("node").where("node is not null").distinct())
     fresh = found
     while True:
         step = fresh.join(edges, fresh["node"] == edges["parent"]).select(F.col("child").alias("node")).where("node is not null").distinct()
-        fresh = cut(step.join(found, "node", "left_anti"))
+        fresh = keep(step.join(found, "node", "left_anti"))
         if fresh.isEmpty():
             return found
-        found = cut(found.unionByName(fresh))
+        found = keep(found.unionByName(fresh))
 
 
 def closed_under_parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node): the greatest subset of the nodes that holds all parents of its members; parents that are no nodes drop a member."""
-    kept = cut(nodes.select("node").where("node is not null").distinct())
+    kept = keep(nodes.select("node").where("node is not null").distinct())
     while True:
         parents = edges.select(F.col("parent").alias("p"), F.col("child").alias("node")).where("p is not null")
         lost = parents.join(kept.select(F.col("node").alias("p")), "p", "left_anti").select("node").distinct()
-        drop = cut(kept.join(lost, "node", "left_semi"))
+        drop = keep(kept.join(lost, "node", "left_semi"))
         if drop.isEmpty():
             return kept
-        kept = cut(kept.join(drop, "node", "left_anti"))
+        kept = keep(kept.join(drop, "node", "left_anti"))

@@ -124,18 +124,17 @@ def detect(
     lines = line_reasons(text_lines(observations), least_repeats)
     uses = keep(phrase_uses(lines, max_words))
     live = uses.where("suppressed is null")
-    if method == "D0":  # a phrase alone: what fewer rows hold than sources are needed neither counts nor makes others inner ones
-        live = live.join(live.groupBy("phrase").agg(F.count_distinct("observation_id").alias("n")).where(F.col("n") >= min_documents).select("phrase"), "phrase", "left_semi")
-    # the set of supporting rows, as its size and two order-free sums of hashes
-    distinct = live.groupBy("phrase", "observation_id").agg(F.max("protected").alias("protected")).groupBy("phrase").agg(
-        F.max("protected").alias("protected"),
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("observation_id").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(7), "observation_id").cast("decimal(38,0)")).alias("h2"),
+    # each phrase's supporting rows once; their set, as its size and two order-free sums of hashes
+    support = keep(live.groupBy("phrase", "observation_id").agg(F.max("protected").alias("protected")))
+    counted = support.groupBy("phrase").agg(
+        F.max("protected").alias("protected"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("observation_id").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(7), "observation_id").cast("decimal(38,0)")).alias("h2"),
     )
-    index = maximal(
-        distinct.select("phrase", "protected", F.concat_ws("|", "n", "h1", "h2").alias("signature")), max(max_words, 64)
-    ).select("phrase")
-    in_obs = live.join(obs, "observation_id")
-    ordered = in_obs.join(index, "phrase", "left_semi").groupBy("phrase").agg(F.count_distinct("source").alias("docs"), F.count_distinct("video_id").alias("videos"), F.count_distinct("observation_id").alias("rows"))
+    if method == "D0":  # a phrase alone: what fewer rows hold than sources are needed neither counts nor makes others inner ones
+        counted = counted.where(F.col("n") >= min_documents)
+    index = maximal(counted.select("phrase", "protected", F.xxhash64("n", "h1", "h2").alias("signature")), max(max_words, 64)).select("phrase")
+    in_obs = support.join(index, "phrase", "left_semi").join(obs.select("observation_id", "source", "video_id"), "observation_id")
+    ordered = in_obs.groupBy("phrase").agg(F.count_distinct("source").alias("docs"), F.count_distinct("video_id").alias("videos"), F.count(F.lit(1)).alias("rows"))
     if method == "D0":  # a phrase alone: too little support can be dropped before the top list, which puts it last anyway
         ordered = ordered.where((F.col("docs") >= min_documents))
     nodes = keep(ordered.orderBy(F.desc("docs"), F.desc(F.length("phrase")), "phrase").limit(max_phrase_nodes))

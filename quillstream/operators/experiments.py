@@ -80,7 +80,7 @@ def tfidf_retrieve(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
         grams = F.concat(T.char_ngrams(F.col("text"), 2), T.char_ngrams(F.col("text"), 3))
         return df.where("grp is not null and text is not null").select(id_col, "grp", F.explode(grams).alias("term")).groupBy(id_col, "grp", "term").agg(F.count(F.lit(1)).alias("c"))
 
-    docs = bag(pool, "example_id")
+    docs = keep(bag(pool, "example_id"))
     size = pool.where("grp is not null and text is not null").groupBy("grp").agg(F.count_distinct("example_id").alias("n_docs"))
     df = docs.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.join(size, "grp").select("grp", "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
