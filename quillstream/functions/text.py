@@ -299,6 +299,6 @@ def repeated_frame(title: Column, query: Column) -> Column:
     words = F.regexp_extract_all(query, F.lit("[가-힣A-Za-z]+"), F.lit(0))
     token = F.get(words, F.lit(0))
     ok = (F.size(words) == 2) & (token == F.get(words, F.lit(1))) & (F.length(token) >= 3)
-    found = F.regexp_extract(core_title(title), F.concat(F.lit("(?U)"), token, F.lit(r"[\s,]+"), token, F.lit(r"[\s,]+(.{1,60}?)\s+"), token, F.lit(r"(?=\W|_|$)")), 1)
+    found = F.call_function("regexp_extract", core_title(title), F.concat(F.lit("(?U)"), token, F.lit(r"[\s,]+"), token, F.lit(r"[\s,]+(.{1,60}?)\s+"), token, F.lit(r"(?=\W|_|$)")), F.lit(1))
     middle = F.regexp_replace(found, r"^[ ,.!?_]+|[ ,.!?_]+$", "")
     return F.when(ok & (middle != "") & (F.size(F.split(middle, r"(?U)\s+")) <= 10), F.struct(token.alias("token"), middle.alias("middle"), F.concat(token, F.lit(" "), token, F.lit(" {} "), token).alias("frame")))

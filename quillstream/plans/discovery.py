@@ -115,7 +115,7 @@ def win_first_seen(spark: SparkSession, d: str) -> DataFrame:
 
 def op_plan_seeds(spark: SparkSession, d: str) -> DataFrame:
     videos = keep(S.unique_videos(table(spark, d, "video_cards"), "card_id"))
-    return S.plan_seeds(videos, 50).withColumn("video_ids", F.size("video_ids")).withColumn("channel_ids", F.size("channel_ids"))
+    return S.plan_seeds(videos, 50)
 
 
 def op_followups(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +128,12 @@ def op_families(spark: SparkSession, d: str) -> DataFrame:
     return S.families(keep(S.plan_seeds(videos, 50)), videos)
 
 
+def op_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """What supports no family, by reason."""
+    videos = keep(S.unique_videos(table(spark, d, "video_cards"), "card_id"))
+    return S.rejected(keep(S.plan_seeds(videos, 50)), videos).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def agg_day_hist(spark: SparkSession, d: str) -> DataFrame:
     days = _observations(spark, d).select(F.to_date(instant("posted_at")).alias("day")).where("day is not null")
     return days.groupBy("day").agg(F.count(F.lit(1)).alias("n")).select(F.col("day").cast("string").alias("day"), "n")
@@ -272,7 +278,7 @@ def queries():
     return {f.__name__: f for f in (
         flt_admit, agg_reason_hist, flt_ts_guard, fn_date_info, fn_char_grams, fn_bigram_jaccard, fn_hash_id,
         agg_repeat_lines, agg_phrase_support, op_metadata_index, agg_score, op_detect_d0, op_detect_d1, win_unique_video, win_first_seen, op_plan_seeds, op_followups,
-        op_families, agg_day_hist, agg_channel_frac, agg_growth, topk_search_rank,
+        op_families, op_rejected, agg_day_hist, agg_channel_frac, agg_growth, topk_search_rank,
     )}
 
 

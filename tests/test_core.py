@@ -273,6 +273,21 @@ def test_seeds_followups_and_families(spark):
     assert fam["status"] == "supported_textual_reuse" and fam["channels"] >= 2
 
 
+def test_families_of_frames_and_catchphrases_and_what_is_rejected(spark):
+    rows = [
+        card(1, "아주 진지한 고양이는 강아지와 구분할 수 없다", "a"), card(2, "아주 진지한 수달은 너구리와 구별할 수 없다", "b"), card(3, "가자가자 가자가자 바다로 떠나는 가자가자", "a"), card(4, "가자가자 가자가자 산으로 떠나는 가자가자", "b"),
+        card(5, "[속보] 정부 발표", "c"), card(6, "아무것도 아닌 제목", "d"),
+    ]
+    videos = S.unique_videos(spark.createDataFrame(rows, CARD), "card_id").cache()
+    seeds = S.plan_seeds(videos, 10).cache()
+    kinds = {(r["kind"], r["status"], r["variants"]) for r in S.families(seeds, videos).collect()}
+    assert {("sentence_comparison", "supported_textual_reuse", 2), ("repeated_catchphrase", "supported_textual_reuse", 2)} <= kinds
+    got = {(r["item"], r["reason"]) for r in S.rejected(seeds, videos).collect()}
+    assert (f"{5:011}", "news_or_topic_title_without_reuse_evidence") in got and (f"{6:011}", "no_supported_reusable_form_detected") in got
+    frame = videos.where("card_id = 3").select(T.repeated_frame(F.col("title"), F.lit("가자가자 가자가자")).alias("f")).first()[0]
+    assert frame["middle"] == "바다로 떠나는" and frame["token"] == "가자가자"
+
+
 def test_comparison_frame(spark):
     df = spark.createDataFrame([("아주 진지한 고양이는 강아지와 구분할 수 없다",), ("고양이는 강아지와 구분할 수 없다",), ("그냥 제목",)], "t string")
     got = [r[0] for r in df.select(S.comparison_frame(F.col("t"))).collect()]
