@@ -104,7 +104,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_repaired(spark, d).select("doc_id").distinct()
 
 
-SQL: dict[str, str] = {}
+_ID = "nullif(nullif(nullif(nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), ''), '-'), 'n/a'), 'unknown')"
+_REACH = f"""tie AS (SELECT DISTINCT a, b FROM (SELECT '0:' || {_ID.format('meme_id')} AS a, '1:' || {_ID.format('family_id')} AS b FROM meme_records
+    UNION ALL SELECT '0:' || {_ID.format('meme_id')}, '2:' || {_ID.format('x.source_group_id')} FROM (SELECT meme_id, unnest(assets) AS x FROM meme_records)) WHERE a IS NOT NULL AND b IS NOT NULL),
+  way AS (SELECT a AS x, b AS y FROM tie UNION SELECT b, a FROM tie),
+  reach AS (SELECT DISTINCT '0:' || {_ID.format('meme_id')} AS s, '0:' || {_ID.format('meme_id')} AS n FROM meme_records WHERE {_ID.format('meme_id')} IS NOT NULL UNION SELECT reach.s, way.y FROM reach JOIN way ON reach.n = way.x),
+  grp AS (SELECT substr(s, 3) AS meme_id, substr(min(n), 3) AS group_id FROM reach GROUP BY s)"""
+SQL: dict[str, str] = {
+    "p5_found": f"WITH RECURSIVE {_REACH} SELECT group_id, meme_id FROM grp WHERE group_id IN (SELECT group_id FROM grp GROUP BY group_id HAVING count(*) > 1)",
+}
 
 
 def queries():
