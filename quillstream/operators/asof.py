@@ -175,15 +175,17 @@ def as_known_at(
 def _spread(rec: DataFrame, ev: DataFrame, hot: DataFrame, n_hot: int, block_records: int, salt_events: int):
     """Blocks of effective time for entities with many records, salts for those with many events."""
     effective = F.greatest("known", "valid")
+    largest = hot.agg(F.max("n_rec")).first()[0] or 0
+    parts = max(64, -(-int(largest) // block_records))  # cuts enough for the largest entity
     cuts = (
         rec.join(small(hot, n_hot, 60), "k")
         .groupBy("k")
         .agg(
-            F.percentile_approx(effective, [i / 64 for i in range(1, 64)], 10_000).alias("q"),
+            F.percentile_approx(effective, [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("q"),
             F.first("n_rec").alias("n_rec"),
         )
     )
-    step = F.greatest(F.lit(1), (F.lit(64) / F.ceil(F.col("n_rec") / block_records)).cast("int"))
+    step = F.greatest(F.lit(1), (F.lit(parts) / F.ceil(F.col("n_rec") / block_records)).cast("int"))
     bounds = hot.join(cuts.drop("n_rec"), "k", "left").select(
         "k",
         F.when(
@@ -193,7 +195,7 @@ def _spread(rec: DataFrame, ev: DataFrame, hot: DataFrame, n_hot: int, block_rec
         F.greatest(F.lit(1), F.ceil(F.col("n_ev") / salt_events)).cast("int").alias("salts"),
     )
     bounds = cut(bounds)
-    side = small(bounds, n_hot, 700)
+    side = small(bounds, n_hot, 100 + 10 * parts)
 
     def block(x: str) -> Column:
         return F.coalesce(F.size(F.filter(F.col("bounds"), lambda b: b < F.col(x))), F.lit(0))

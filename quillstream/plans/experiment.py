@@ -78,14 +78,14 @@ def gr_retry_chain(spark: SparkSession, d: str) -> DataFrame:
 
 def src_type_profile(spark: SparkSession, d: str) -> DataFrame:
     """Observed type of every property of the events."""
-    e = table(spark, d, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
-    kind = F.when(F.col("value").rlike(r"^-?\d+$"), "integer").when(F.col("value").rlike(r"^-?\d*\.\d+([eE][-+]?\d+)?$"), "number").when(F.col("value").isin("true", "false"), "boolean").otherwise("string")
-    return e.groupBy("name", kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    fields = table(spark, d, "events").select("props").lateralJoin(spark.tvf.variant_explode(F.try_parse_json(F.col("props").outer())))
+    return fields.groupBy(F.col("key").alias("name"), F.schema_of_variant("value").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _FIRST = "r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY request_id) AS dup FROM generation_responses) WHERE dup = 1)"
 
 SQL = {
+    "src_type_profile": """WITH k AS (SELECT unnest(json_keys(props)) AS name, props FROM events) SELECT name, CASE json_type(json_extract(props, '$.' || name)) WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'BIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' ELSE json_type(json_extract(props, '$.' || name)) END AS type, count(*) AS n FROM k GROUP BY 1, 2""",
     "join_grid": """WITH c AS (SELECT DISTINCT case_id FROM generation_responses), e AS (SELECT case_id, condition FROM c CROSS JOIN (VALUES ('C0'), ('CR'), ('CF')) v(condition)),
       a AS (SELECT DISTINCT case_id, condition FROM generation_responses WHERE status = 'completed')
       SELECT coalesce(e.case_id, a.case_id) AS case_id, coalesce(e.condition, a.condition) AS condition, CASE WHEN a.case_id IS NULL THEN 'missing' ELSE 'unexpected' END AS state
