@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.operators.ranks import salted_rank
-from quillstream.session import cut, small
+from quillstream.session import keep, small
 
 #: Edges of forests that one task merges.
 TASK_EDGES = 1_000_000
@@ -69,7 +69,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root): each node of the edges (a, b), strings, with the least node of its component."""
     spark = edges.sparkSession
-    forest = cut(edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).where("a <> b").mapInPandas(_forest, "a string, b string"))
+    forest = keep(edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).where("a <> b").mapInPandas(_forest, "a string, b string"))
     parts = max(1, forest.rdd.getNumPartitions())
     n = forest.count()
     while parts > 1 or n > task_edges:
@@ -77,7 +77,7 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
         merged = forest.repartition(fewer, "b")
         if fewer > 1:  # a hot root fills one task: contract by joins, which are split where skewed
             merged = _stars(forest).repartition(fewer, "b")
-        merged = cut(merged.mapInPandas(_forest, "a string, b string"))
+        merged = keep(merged.mapInPandas(_forest, "a string, b string"))
         before, n = n, merged.count()
         forest, parts = merged, fewer
         if fewer > 1 and n >= before and _is_star(forest):
@@ -154,7 +154,7 @@ def assign(groups: DataFrame, splits: list[tuple[str, float]]) -> DataFrame:
     Distinct sizes of groups are collected: k different sizes need k (k + 1) / 2 entities at least, so they are few.
     """
     spark: SparkSession = groups.sparkSession
-    sized = cut(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")))
+    sized = keep(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")))
     counts = {r["size"]: r["n"] for r in sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(s * n for s, n in counts.items())
     whole = sum(f for _, f in splits) or 1.0

@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.operators.ranks import salted_rank
-from quillstream.session import cut
+from quillstream.session import keep
+
+#: Items of one size and capacity that are ranked in one task.
+RANKED = 200_000
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -77,7 +80,7 @@ def pack(items: DataFrame, capacities: list[int]) -> DataFrame:
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.col("n") - 1) / F.col("capacity")).cast("int")))))
         .select("id", "capacity", "piece", "row", F.least(F.col("n") - F.col("piece") * F.col("capacity"), F.col("capacity")).cast("int").alias("size"))
     )
-    pieces = cut(pieces)
+    pieces = keep(pieces)
     counts: dict[int, dict[int, int]] = {c: {} for c in caps}
     for r in pieces.where("size > 0").groupBy("capacity", "size").agg(F.count(F.lit(1)).alias("n")).collect():  # at most sum(capacities) rows
         counts[r["capacity"]][r["size"]] = r["n"]
@@ -98,7 +101,7 @@ def pack(items: DataFrame, capacities: list[int]) -> DataFrame:
                 out.append(container + (rank - first) // n)
             yield pd.DataFrame({"capacity": pdf["capacity"], "container": pd.Series(out, dtype="int64"), "id": pdf["id"], "piece": pdf["piece"], "size": pdf["size"]})
 
-    ranked = salted_rank(pieces.where("size > 0"), ["capacity", "size"], F.struct("row", "piece"))
+    ranked = salted_rank(pieces.where("size > 0"), ["capacity", "size"], F.struct("row", "piece"), salts=max(64, max((n for c in counts.values() for n in c.values()), default=0) // RANKED + 1))
     schema = f"capacity int, container long, id {kind}, piece int, size int"
     placed = ranked.mapInPandas(place, schema)
     empty = pieces.where("size = 0").select("capacity", F.lit(None).cast("long").alias("container"), "id", "piece", "size")
