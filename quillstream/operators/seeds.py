@@ -124,7 +124,7 @@ def holding(videos: DataFrame, seeds: DataFrame) -> DataFrame:
     """videos with `body` (title and description, case folded), joined with the seeds they literally hold; the seeds are a top
     list, broadcast where its counted size allows."""
     named = keep(seeds.select("seed_id", "key"))
-    return videos.withColumn("body", T.nfc_casefold(F.concat_ws("\n", "title", "description"))).join(small(named, named.count(), 256), F.col("body").contains(F.col("key")))
+    return videos.drop("seed_id", "key", "span", "seed_kind").withColumn("body", T.nfc_casefold(F.concat_ws("\n", "title", "description"))).join(small(named, named.count(), 256), F.col("body").contains(F.col("key")))
 
 
 def followups(seeds: DataFrame, videos: DataFrame, limit: int = 3) -> DataFrame:
@@ -197,12 +197,12 @@ def families(seeds: DataFrame, videos: DataFrame) -> DataFrame:
     framed = good.withColumn("f", frame).where("f is not null").withColumn("label", F.concat("f.prefix", F.lit(" {} / {}"))).withColumn("key", F.col("f.frame_key"))
     framed = _counts(framed, ["key"], F.struct("f.left", "f.right")).select("*", F.lit("sentence_comparison").alias("kind"), F.lit(None).cast("string").alias("seed_id"), F.regexp_replace("key", r"\|indistinguishable$", "").alias("label"))
     framed = framed.withColumn("status", (F.col("variants") >= 2) & (F.col("channels") >= 2))
-    plain = keep(seeds.where("kind <> 'sentence_comparison'").select("seed_id", "key", "query", F.col("kind").alias("seed_kind")))
-    uses = keep(holding(good, plain).join(plain.select("seed_id", "query", "seed_kind"), "seed_id").withColumn("middle", F.when(F.col("seed_kind") == "repeated_catchphrase", T.nfc_casefold(T.repeated_frame(F.col("title"), F.col("query"))["middle"]))))
-    said = _counts(uses.where("middle is not null"), ["seed_id", "key", "query"], F.col("middle")).where("variants >= 2 and channels >= 2")
-    said = said.select("*", F.lit("repeated_catchphrase").alias("kind"), F.col("query").alias("label"), F.lit(True).alias("status"))
-    literal = _counts(uses.join(said.select("seed_id"), "seed_id", "left_anti"), ["seed_id", "key", "query"], F.lit(1))
-    literal = literal.select("*", F.when(F.col("parodies") > 0, "source_declared_parody").otherwise("expression_reuse").alias("kind"), F.col("query").alias("label"),
+    plain = keep(seeds.where("kind <> 'sentence_comparison'").select("seed_id", "key", F.col("query").alias("span"), F.col("kind").alias("seed_kind")))
+    uses = keep(holding(good, plain).join(plain.select("seed_id", "span", "seed_kind"), "seed_id").withColumn("middle", F.when(F.col("seed_kind") == "repeated_catchphrase", T.nfc_casefold(T.repeated_frame(F.col("title"), F.col("span"))["middle"]))))
+    said = _counts(uses.where("middle is not null"), ["seed_id", "key", "span"], F.col("middle")).where("variants >= 2 and channels >= 2")
+    said = said.select("*", F.lit("repeated_catchphrase").alias("kind"), F.col("span").alias("label"), F.lit(True).alias("status"))
+    literal = _counts(uses.join(said.select("seed_id"), "seed_id", "left_anti"), ["seed_id", "key", "span"], F.lit(1))
+    literal = literal.select("*", F.when(F.col("parodies") > 0, "source_declared_parody").otherwise("expression_reuse").alias("kind"), F.col("span").alias("label"),
                              ((F.col("titles") >= 2) & (F.col("channels") >= 2) & (F.col("cues") > 0) & ~F.col("key").rlike(GENERIC_REFERENCE)).alias("status"))
     columns = ["key", "seed_id", "label", "kind", "titles", "videos", "channels", "variants", "cues", "status"]
     every = framed.select(*columns).unionByName(said.select(*columns)).unionByName(literal.select(*columns))
