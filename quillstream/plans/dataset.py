@@ -90,9 +90,10 @@ def set_split_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sx_author_rule(spark: SparkSession, d: str) -> DataFrame:
-    """Annotations by authors that are no humans yet claim human minutes, per author type."""
-    a = table(spark, d, "annotations").where("author.type is null or author.type <> 'human'").where("human_minutes > 0 and not isnan(human_minutes)")
-    return a.groupBy(F.col("author.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    """Per author type: annotations, and those that claim human minutes though no human wrote them."""
+    minutes = F.coalesce((F.col("human_minutes") > 0) & ~F.isnan("human_minutes"), F.lit(False))
+    other = F.col("author.type").isNull() | (F.col("author.type") != "human")
+    return table(spark, d, "annotations").groupBy(F.col("author.type").alias("type")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(minutes & other).alias("broken"), F.count_if(minutes).alias("claimed"))
 
 
 def set_dedupe_last(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +127,7 @@ SQL = {
       WHERE EXISTS (SELECT 1 FROM tr WHERE tr.b = ev.b AND tr.t = ev.t) OR EXISTS (SELECT 1 FROM tr WHERE tr.meme_id = ev.meme_id AND tr.example_id = ev.example_id)""",
     "set_split_diff": f"""WITH a AS (SELECT DISTINCT {_ID.format('meme_id')} AS m FROM annotations WHERE meme_id IS NOT NULL), r AS (SELECT DISTINCT {_ID.format('meme_id')} AS m FROM meme_records WHERE meme_id IS NOT NULL)
       SELECT m, 'no_record' AS side FROM (SELECT m FROM a EXCEPT SELECT m FROM r) UNION ALL SELECT m, 'no_annotation' FROM (SELECT m FROM r EXCEPT SELECT m FROM a)""",
-    "sx_author_rule": "SELECT author.type AS type, count(*) AS n FROM annotations WHERE (author.type IS NULL OR author.type <> 'human') AND human_minutes > 0 AND NOT isnan(human_minutes) GROUP BY 1",
+    "sx_author_rule": "SELECT author.type AS type, count(*) AS rows, count(*) FILTER (WHERE human_minutes > 0 AND NOT isnan(human_minutes) AND (author.type IS NULL OR author.type <> 'human')) AS broken, count(*) FILTER (WHERE human_minutes > 0 AND NOT isnan(human_minutes)) AS claimed FROM annotations GROUP BY 1",
     "set_dedupe_last": "SELECT annotation_id, role FROM (SELECT annotation_id, coalesce(role, '') AS role, row_number() OVER (PARTITION BY annotation_id ORDER BY ingested_at DESC NULLS LAST, coalesce(role, '') DESC) AS n FROM annotations) WHERE n = 1",
 }
 
