@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from quillstream import session
 from quillstream.functions import text as T
 from quillstream.functions.times import instant
 from quillstream.operators import components as C
@@ -330,3 +331,16 @@ def test_lookup_matches_a_loop(spark):
     texts, families = [(n, make(0, 60)) for n in range(120)], [(f"f{n}", make(1, 12), "literal", "2024-01-01T00:00:00Z") for n in range(300)]
     got = R.identify(spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(families, "family_id string, label string, kind string, available_at string"), "2024-06-01T00:00:00Z").collect()
     assert {(r["text_id"], r["family_id"]) for r in got} == {(i, f) for i, t in texts for f, x, *_ in families if len(x) >= 3 and x.lower() in t.lower()}
+
+
+def test_texts_are_never_broadcast_against_phrases(spark, monkeypatch):
+    texts = [(n, t) for n, t in enumerate(["ab cd ef", "cd ef", "", None, "ab cdx ef", "ef"])]
+    phrases = [(w, n) for n, w in enumerate(["cd ef", "ab", "ef", "", None, *(f"w{k} v" for k in range(2000))])]
+    left, right = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(phrases, "p string, k int")
+    want = {(i, p) for i, t in texts for p, _ in phrases if t and p and f" {p} " in f" {t} "}
+    for most, side in ((session.BROADCAST_BYTES, "BuildRight"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(session, "BROADCAST_BYTES", most)
+        held = T.containing(left, right, "t", "p")
+        plan = held._jdf.queryExecution().executedPlan().toString()
+        assert side in plan and "BuildLeft" not in plan
+        assert sorted((r["id"], r["p"]) for r in held.collect()) == sorted(want)
