@@ -212,6 +212,18 @@ def test_overlaps_match_brute_force(spark):
     assert overlap.overlap_pairs(df.where("false"), "id", "split", "source", ["brief"]).count() == 0
 
 
+def test_outer_spaces_of_a_split_are_of_any_kind(spark):
+    rng = random.Random(14)
+    texts = [sentence(rng, 14) for _ in range(8)]
+    outer = ["", " ", "\t", "\n", "\u00a0", "\u3000", "\u2003 ", "\ufeff\u200b"]
+    rows = [(f"a{k}", x + "Train" + y, t) for k, (t, x, y) in enumerate(zip(texts, outer, outer[::-1]))]
+    rows += [(f"b{k}", y + "VALID" + x, damage(rng, t, 0.04)) for k, (t, x, y) in enumerate(zip(texts, outer, outer[3:] + outer[:3]))]
+    rows += [("c0", "tra in", texts[0]), ("c1", "\u3000", texts[1]), ("c2", None, texts[2])]
+    df = spark.createDataFrame([(i, s, "src", t) for i, s, t in rows], "id string, split string, source string, brief string")
+    got = {tuple(r) for r in overlap.overlap_pairs(df, "id", "split", "source", ["brief"]).collect()}
+    assert got == {(f"a{k}", f"b{k}") for k in range(8)}
+
+
 def test_groups_match_union_find(spark):
     rng = random.Random(5)
     rows = [(f"m{rng.randrange(80):02}", rng.choice([None, "-", "N/A", " unknown", "", "hot", f"F{rng.randrange(30)}", f" f{rng.randrange(30)}\t"]), [rng.choice([None, "-", f"g{rng.randrange(60)}"])] * rng.randrange(2)) for _ in range(150)]
