@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,6 +314,32 @@ def test_title_variations_match_all_pairs(spark):
     assert any(i > 200 for i, _ in want)
 
 
+def test_title_variations_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT", 7)
+    rng = random.Random(8)
+    pick = lambda n: " ".join(rng.choice("하나 둘 셋 넷 다섯 둘 셋".split()) for _ in range(n))
+    titles = [pick(rng.randrange(4, 9)) for _ in range(80)] + ["세상 모든 것 고양이 이야기"] * 30 + ["세상 모든 것 강아지 이야기"] * 20 + ["세상 모든 고양이 이야기 하나 둘 셋 넷 다섯 " * 4]
+    rows = [(f"t{rng.randrange(150):03}", rng.choice([None, "v1", f"v{n}"]), t) for n, t in enumerate(titles)]
+    normal = {t: t.strip() for t in titles}
+    want = {
+        (i, j, f[0], len(f[1])) for i, v, s in rows for j, w, t in rows
+        if i < j and v and w and v != w and (f := R.shared_clause(normal[s], normal[t]))
+    }
+    got = [tuple(r) for r in R.title_variations(spark.createDataFrame(rows, "id string, video_id string, title string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+    assert R.title_variations(spark.createDataFrame([], "id string, video_id string, title string")).count() == 0
+
+
+def test_one_pattern_of_equal_words_is_compared_once(monkeypatch):
+    titles = sorted(f"세상에서 제일 느린 고양이{n} 숨겼다 {n % 9}화" for n in range(300))
+    batch = pa.RecordBatch.from_pydict({"three": ["세상에서 제일 느린"] * 300, "i": [0] * 300, "j": [0] * 300, "part": [0] * 300, "t": titles, "ids": [[n] for n in range(300)], "videos": [[f"v{n}"] for n in range(300)]})
+    calls, common = [], R._common
+    monkeypatch.setattr(R, "_common", lambda a, b: calls.append(1) or common(a, b))
+    got = {(r["left"], r["right"]): (r["frame"], r["changes"]) for b in R._Cells().run(iter([batch.slice(0, 130), batch.slice(130)])) for r in b.to_pylist()}
+    assert len(calls) <= 8
+    assert got == {(i, j): (f[0], len(f[1])) for i in range(300) for j in range(i + 1, 300) if (f := R.shared_clause(titles[i], titles[j]))}
+
+
 def test_lookup_uses_every_family_and_comparison_frames(spark, tmp_path):
     words = [f"낱말{chr(0xAC00 + n)}" for n in range(80)]
     titles = [f"{w} 모두가 웃었다 {n}" for w in words for n in range(3)] + ["아주 진지한 고양이는 강아지와 구분할 수 없다"]
