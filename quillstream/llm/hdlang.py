@@ -1,12 +1,9 @@
 """Language of documents and their segments by hyperdimensional profiles (problem 6).
 
 Every letter has a random vector of +1 and -1. An n-gram's vector binds its letters' vectors, each permuted by its
-place; a profile bundles the n-gram vectors of its text. A segment is compared with the languages' prototypes by
-cosine. N-grams are weighted by what they tell about the language (one minus the normalised entropy over the languages;
-n-grams of no sample weigh nothing). A bundle's product with a prototype is the sum of its n-grams' products, so these are
-computed once per n-gram and bundle vectors are never written out: the numerators are those of the bundles, and their
-lengths follow from the counts of distinct n-grams, whose vectors are as good as orthogonal (bundle() gives the vector
-itself, for tests of both).
+place; a profile bundles the n-gram vectors of its text. Every segment, whatever its script, is bundled alike and compared
+with the languages' prototypes by the cosine of the bundle itself. N-grams are weighted by what they tell about the language
+(one minus the normalised entropy over the languages; by that, n-grams of no sample weigh nothing).
 """
 
 from __future__ import annotations
@@ -15,10 +12,13 @@ import re
 import unicodedata
 
 import numpy as np
+import pandas as pd
 
 from quillstream.llm.looks import CYRILLIC, GREEK, resolved
 
 DIMENSIONS = 2048
+#: Bundles that are held at once.
+BUNDLES = 512
 #: Confidence from which a segment is sure; cosine by which a language may lag and still be taken from the document.
 SURE, NEAR = 0.75, 0.12
 
@@ -124,10 +124,11 @@ class Profiles:
         bundle /= np.linalg.norm(bundle, axis=1, keepdims=True)
         bundle -= bundle.mean(axis=0)
         self.prototypes = bundle / np.linalg.norm(bundle, axis=1, keepdims=True)
-        self.products = np.concatenate(
-            [self.vectors(distinct[i : i + 2000]) @ self.prototypes.T for i in range(0, len(distinct), 2000)]
-        ) * self.weights[:, None]
         self.letters = {}
+        self.bound: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"letters": {}, "bound": None}  # vectors follow from the seed
 
     def letter(self, cp: int) -> np.ndarray:
         v = self.letters.get(cp)
@@ -147,19 +148,11 @@ class Profiles:
         return out.astype(np.float32)
 
     def cosines(self, texts: list[str]) -> np.ndarray:
-        """Cosine of each text's bundle with each prototype; zeros for texts without letters. A text in Hangul, the script of one
-        language, needs no bundle: it has cosine one with that language and zero with the others."""
+        """Cosine of each text's bundle with each prototype; zeros for texts without letters. Equal texts are bundled once."""
         if not texts:
             return np.zeros((0, len(self.langs)), dtype=np.float32)
-        if "ko" in self.langs:
-            own = np.array([hangul(t) for t in texts])
-            if own.any():
-                out = np.zeros((len(texts), len(self.langs)), dtype=np.float32)
-                out[own, self.langs.index("ko")] = 1
-                if not own.all():
-                    out[~own] = self._cosines([t for t, k in zip(texts, own) if not k])
-                return out
-        return self._cosines(texts)
+        which, distinct = pd.factorize(np.array(texts, dtype=object))
+        return self._cosines(distinct.tolist())[which]
 
     def _cosines(self, texts: list[str]) -> np.ndarray:
         codes, owner = _codes(texts)
@@ -172,16 +165,23 @@ class Profiles:
         # a bundle holds each distinct n-gram once, weighted by the root of its count, as the prototypes do
         distinct, times = np.unique(of * len(self.seen) + at, return_counts=True)
         of, at = np.divmod(distinct, len(self.seen))
-        root = np.sqrt(times)
-        sums = np.zeros((len(texts), len(self.langs)), dtype=np.float64)
-        for k in range(len(self.langs)):
-            sums[:, k] = np.bincount(of, weights=self.products[at, k] * root, minlength=len(texts))
-        # letters' vectors are random, so n-gram vectors are as good as orthogonal and squared lengths add up
-        norm = np.sqrt(np.bincount(of, weights=self.weights[at].astype(np.float64) ** 2 * times, minlength=len(texts)) * self.dimensions)
-        return (sums / np.maximum(norm, 1e-9)[:, None]).astype(np.float32)
+        amount = np.sqrt(times).astype(np.float32) * self.weights[at]
+        if self.bound is None:
+            self.bound = np.concatenate([self.vectors(self.seen[i : i + 2000]).astype(np.int8) for i in range(0, len(self.seen), 2000)])
+            self.letters = {}
+        begin = np.searchsorted(of, np.arange(len(texts) + 1))
+        out = np.zeros((len(texts), len(self.langs)), dtype=np.float32)
+        for i in range(0, len(texts), BUNDLES):
+            bundles = np.zeros((min(BUNDLES, len(texts) - i), self.dimensions), dtype=np.float32)
+            for k in range(len(bundles)):
+                x = slice(begin[i + k], begin[i + k + 1])
+                bundles[k] = amount[x] @ self.bound[at[x]].astype(np.float32)
+            length = np.linalg.norm(bundles, axis=1, keepdims=True)
+            out[i : i + BUNDLES] = bundles @ self.prototypes.T / np.maximum(length, 1e-9)
+        return out
 
     def bundle(self, text: str) -> np.ndarray:
-        """The bundle vector of one text (plain()), as cosines() stands for it."""
+        """The bundle vector of one text (plain()), for itself."""
         ids, times = np.unique(_grams(*_codes([text]))[0], return_counts=True)
         at = np.minimum(np.searchsorted(self.seen, ids), len(self.seen) - 1)
         hit = self.seen[at] == ids

@@ -1,6 +1,7 @@
 """Operators on single texts and pairs of strings: against brute force, exact round trips and held-out accuracy."""
 
 import os
+import pickle
 import random
 import unicodedata
 
@@ -191,6 +192,19 @@ def test_cosines_are_those_of_the_bundles():
     assert not got[3].any()
 
 
+def test_every_segment_is_bundled_and_compared_by_its_own_cosine():
+    samples = [("en", "the cat sat on the mat and the dog ran"), ("de", "die Katze sitzt auf der Matte und der Hund lief"), ("ko", "고양이가 매트 위에 앉았고 강아지는 달렸다")]
+    p = Profiles(samples * 3)
+    texts = ["강아지는 달렸다 고양이가 앉았고 달렸다", "the dog sat on the dog and ran", "매트 위에 앉았고 the mat", "the dog sat on the dog and ran", "123", "강아지는 달렸다 고양이가 앉았고 달렸다" * 40]
+    for each in (p, pickle.loads(pickle.dumps(p))):
+        got = each.cosines(texts)
+        for text, row in zip(texts, got):
+            if text != "123":
+                v = p.bundle(text)
+                assert np.abs(row - p.prototypes @ v / np.linalg.norm(v)).max() < 1e-5
+    assert 0 < got[0].max() < 0.999 and not got[4].any()
+
+
 def test_refusals_are_aligned_with_templates_not_listed():
     r = responses.Refusals(responses.refusal_templates())
     declining = [
